@@ -207,15 +207,19 @@ def repair_effect(
 ) -> DataFrame:
     """Mean signal value in the hours before and after each completed repair.
 
-    Both sides are cut into blocks of ``hours``; a repair looks at the block
-    before, its own and the next, so the join is on equal blocks.
+    Repair moments and hours are cut into blocks of ``hours``; a moment looks
+    at the block before, its own and the next, so the join is on equal blocks
+    and a repair meets only the hours around it. Repairs of a machine at the
+    same moment are compared once.
     """
     span = hours * 3600
-    at = epoch_seconds(F.col("completed_at"))
+    at = F.col("_at")
     block = F.floor(at / span)
     repairs = history.where(F.col("completed_at").isNotNull()).select(
-        "maintenance_id", "machine_id", at.alias("_at"),
-        F.explode(F.array(block - 1, block, block + 1)).alias("_block"),
+        "maintenance_id", "machine_id", epoch_seconds(F.col("completed_at")).alias("_at")
+    )
+    moments = repairs.select("machine_id", "_at").distinct().withColumn(
+        "_block", F.explode(F.array(block - 1, block, block + 1))
     )
     hour = epoch_seconds(F.col("hour_bucket"))
     hourly = features.select(
@@ -226,10 +230,13 @@ def repair_effect(
     value = F.col("avg_value")
     before = F.avg(F.when((gap >= -span) & (gap < 0), value))
     after = F.avg(F.when((gap >= 0) & (gap < span), value))
-    return (
-        repairs.join(hourly, ["machine_id", "_block"])
-        .groupBy("maintenance_id", "machine_id", "signal_type")
+    effects = (
+        moments.join(hourly, ["machine_id", "_block"])
+        .groupBy("machine_id", "_at", "signal_type")
         .agg(half_up(before, 4).alias("before_avg"), half_up(after, 4).alias("after_avg"),
              half_up(after - before, 4).alias("change"))
         .where(F.col("before_avg").isNotNull() | F.col("after_avg").isNotNull())
     )
+    return repairs.join(effects, ["machine_id", "_at"]).select(
+        "maintenance_id", "machine_id", "signal_type", "before_avg", "after_avg", "change"
+    )

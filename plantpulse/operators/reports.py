@@ -245,7 +245,7 @@ def similar_cases(incidents: DataFrame, history: DataFrame, *, keep: int = 10) -
     )
     both = same_machine.unionByName(same_mode).select("incident_id", *_CASE).distinct()
     ranked = Window.partitionBy("incident_id").orderBy(*order)
-    return both.withColumn("case_rank", F.row_number().over(ranked)).where(
+    return both.withColumn("case_rank", F.row_number().over(ranked).cast("long")).where(
         F.col("case_rank") <= keep
     )
 
