@@ -982,6 +982,33 @@ Q["key_checks"] = "select *, duplicate_keys = 0 and orphan_rows = 0 as passed fr
 ]) + ")"
 
 
+# --- streams: only windows the watermark has passed are final ----------------
+
+Q["stream_clean"] = "select * exclude (is_stale, is_spike) from clean"
+Q["stream_refreshed_clean"] = "select * from clean"
+Q["stream_refreshed_fleet"] = "select * from fleet"
+Q["stream_notifications"] = "select * from notices"
+Q["stream_hourly_stats"] = """select * exclude (spike_count) from hourly
+  where hour_bucket + interval 1 hour <= (select max(reading_timestamp) from readings) - interval 2 hours"""
+Q["stream_sliding_mean"] = f"""select machine_id, signal_type, s as window_start,
+  s + interval 6 hours as window_end, {r('avg(normalized_value)', 4)} as mean_value, count(*) as reading_count
+  from (select *, unnest([date_trunc('hour', reading_timestamp) - to_hours(i) for i in range(6)]) as s from clean)
+  where s + interval 6 hours <= (select max(reading_timestamp) from readings) - interval 2 hours
+  group by 1, 2, 3"""
+Q["stream_breach_sessions"] = """select machine_id, min(reading_timestamp) as session_start,
+  max(reading_timestamp) + interval 6 hours as session_end, count(*) as breaches,
+  count(*) filter (threshold_status = 'CRITICAL') as critical_breaches
+  from (select *, sum(fresh) over (partition by machine_id order by reading_timestamp) as run
+        from (select *, case when lag(reading_timestamp) over (partition by machine_id order by reading_timestamp)
+                > reading_timestamp - interval 6 hours then 0 else 1 end as fresh
+              from clean where threshold_status <> 'NORMAL'))
+  group by machine_id, run
+  having max(reading_timestamp) + interval 6 hours
+    <= (select max(reading_timestamp) from clean where threshold_status <> 'NORMAL') - interval 2 hours"""
+Q["stream_decisions"] = Q["approval_results"]
+Q["stream_orders"] = Q["apply_approvals"]
+
+
 def assemble(body: str) -> str:
     """Put the steps a query mentions, directly or through others, in front of it."""
     needed: dict[str, str] = {}

@@ -12,8 +12,10 @@ from plantpulse.operators import (
     anomalies, assessments, checks, context, features, forecasts, health, incidents, preparation,
     production, readings, reports, work_orders,
 )
+from plantpulse.operators.durable import fresh_folder
 from plantpulse.plans.fleet import FleetPlan
 from plantpulse.sources.shared import SharedTables
+from plantpulse.streaming import lifecycle, refresh, windows
 
 AS_OF = datetime(2024, 1, 31)
 EARLY = datetime(2024, 1, 11)
@@ -742,3 +744,106 @@ def key_checks(p):
     for one in checked[1:]:
         out = out.unionByName(one)
     return out
+
+
+# --- streams ----------------------------------------------------------------
+# Each runs over all that is there and returns what its sink holds.
+
+def _drained(p, stream, name):
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, name)
+    refresh.run_stream(stream, path, name=name).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/{name}")
+
+
+def _arriving(p):
+    return p.tables.readings_from(p.tables.stream("events"))
+
+
+def _arriving_clean(p):
+    return windows.stateless_clean(_arriving(p), p.sensors)
+
+
+@query()
+def stream_clean(p):
+    return _drained(p, _arriving_clean(p), "clean")
+
+
+@query()
+def stream_hourly_stats(p):
+    return _drained(p, windows.hourly_stats_stream(_arriving_clean(p)), "hourly")
+
+
+@query()
+def stream_sliding_mean(p):
+    return _drained(p, windows.sliding_mean_stream(_arriving_clean(p)), "sliding")
+
+
+@query()
+def stream_breach_sessions(p):
+    return _drained(p, windows.breach_sessions_stream(_arriving_clean(p)), "sessions")
+
+
+def _decided(p):
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, "decisions")
+    lifecycle.open_orders(p.work_orders, path)
+
+    def handle(batch, batch_id):
+        lifecycle.decide_batch(
+            batch, batch_id, root=path, work_orders=p.work_orders, as_of=AS_OF
+        )
+
+    commands = p.tables.approval_commands(p.tables.stream("orders"))
+    refresh.run_batches(commands, handle, path, name="commands").awaitTermination()
+    return spark, path
+
+
+@query()
+def stream_decisions(p):
+    spark, path = _decided(p)
+    return refresh.batches(spark, f"{path}/decisions").drop("batch_id")
+
+
+@query()
+def stream_orders(p):
+    spark, path = _decided(p)
+    return lifecycle.current_orders(spark, path, p.work_orders).select(
+        *ORDER_COLUMNS, "approved_by", "approved_at", "updated_at"
+    )
+
+
+def _refreshed(p):
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, "refresh")
+
+    def handle(batch, batch_id):
+        refresh.refresh_clean(batch, batch_id, root=path, sensors=p.sensors)
+        refresh.refresh_fleet(
+            batch_id, spark=batch.sparkSession, root=path, machines=p.machines,
+            events=p.events, as_of=AS_OF,
+        )
+
+    refresh.run_batches(_arriving(p), handle, path, name="readings").awaitTermination()
+    return spark, path
+
+
+@query()
+def stream_refreshed_clean(p):
+    return refresh.read_clean(*_refreshed(p))
+
+
+@query()
+def stream_refreshed_fleet(p):
+    return refresh.read_fleet(*_refreshed(p))
+
+
+@query(shared=True)
+def stream_notifications(p):
+    """Incidents written out as files, read as a stream and announced once each."""
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, "incidents")
+    for repeat in range(2):
+        p.incidents.drop("evidence_json").write.mode("overwrite").parquet(f"{path}/in/{repeat}")
+    arriving = spark.readStream.schema(p.incidents.drop("evidence_json").schema).parquet(f"{path}/in/*")
+    return _drained(p, windows.notification_stream(arriving), "notices")

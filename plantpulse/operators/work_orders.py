@@ -28,7 +28,7 @@ class Drafts(NamedTuple):
 class Applied(NamedTuple):
     orders: DataFrame
     results: DataFrame
-    incidents: DataFrame
+    incidents: DataFrame | None
 
 
 def is_active(status: Column) -> Column:
@@ -125,18 +125,24 @@ def draft_work_orders(
     )
 
 
-def _incident_changes(orders: DataFrame, states: Column, *, as_of: datetime) -> DataFrame:
-    """The last state an incident's orders give it, one row per incident."""
-    return (
+def _with_order_states(
+    incidents: DataFrame | None, orders: DataFrame, states: Column, *, as_of: datetime
+) -> DataFrame | None:
+    """Incidents with the last state their orders give them."""
+    if incidents is None:
+        return None
+    changes = (
         orders.where(F.col("incident_id").isNotNull())
         .groupBy("incident_id")
         .agg(F.max_by(states, "_seq").alias("status"))
         .withColumn("updated_at", moment(as_of))
     )
+    return patch(incidents, changes, "incident_id", ["status", "updated_at"])
 
 
 def apply_approvals(
-    work_orders: DataFrame, commands: DataFrame, incidents: DataFrame, *, as_of: datetime
+    work_orders: DataFrame, commands: DataFrame, incidents: DataFrame | None = None, *,
+    as_of: datetime,
 ) -> Applied:
     """Decisions on draft orders.
 
@@ -188,14 +194,12 @@ def apply_approvals(
         .alias("result"),
     )
     states = F.when(approved, F.lit("ASSIGNED")).otherwise(F.lit("NEW"))
-    changes = _incident_changes(decided, states, as_of=as_of)
-    return Applied(
-        orders, results, patch(incidents, changes, "incident_id", ["status", "updated_at"])
-    )
+    return Applied(orders, results, _with_order_states(incidents, decided, states, as_of=as_of))
 
 
 def apply_resolutions(
-    work_orders: DataFrame, commands: DataFrame, incidents: DataFrame, *, as_of: datetime
+    work_orders: DataFrame, commands: DataFrame, incidents: DataFrame | None = None, *,
+    as_of: datetime,
 ) -> Applied:
     """Feedback after the repair; the last report on an order stays.
 
@@ -232,7 +236,5 @@ def apply_resolutions(
                         F.col("root_cause")))
         .otherwise(F.concat(F.lit("ERROR: Unknown work order "), who)).alias("result"),
     )
-    changes = _incident_changes(hit, F.lit("RESOLVED"), as_of=as_of)
-    return Applied(
-        orders, results, patch(incidents, changes, "incident_id", ["status", "updated_at"])
-    )
+    resolved = F.lit("RESOLVED")
+    return Applied(orders, results, _with_order_states(incidents, hit, resolved, as_of=as_of))

@@ -114,15 +114,23 @@ class SharedTables:
             F.lit(43200).cast("long").alias("sampling_interval_sec"),
         )
 
-    def readings_from(self, events: DataFrame) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
-        machine = machine_key(F.col("user_id"))
-        signal = _recode(F.col("event_type"), SIGNAL_OF_EVENT)
+    @staticmethod
+    def _coded(events: DataFrame) -> DataFrame:
+        """Events with their number and machine worked out once per row."""
         return events.select(
+            "event_id", "ts", "event_type", "value", "user_id",
+            F.get_json_object("props", "$.k").cast("int").alias("k"),
+            machine_key(F.col("user_id")).alias("machine_id"),
+            _recode(F.col("event_type"), SIGNAL_OF_EVENT).alias("signal_type"),
+        )
+
+    def readings_from(self, events: DataFrame) -> DataFrame:
+        k = F.col("k")
+        return self._coded(events).select(
             F.col("event_id").alias("reading_id"),
-            F.concat_ws("-", machine, signal).alias("sensor_id"),
-            machine.alias("machine_id"),
-            signal.alias("signal_type"),
+            F.concat_ws("-", "machine_id", "signal_type").alias("sensor_id"),
+            "machine_id",
+            "signal_type",
             F.when(k != 99, F.col("value")).alias("reading_value"),
             F.col("ts").alias("reading_timestamp"),
             F.when(k < 2, F.lit("SUSPECT")).when(k == 2, F.lit("STALE"))
@@ -133,14 +141,13 @@ class SharedTables:
         return self.readings_from(self.raw("events"))
 
     def machine_event_logs(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
+        k = F.col("k")
         kind = _pick(EVENT_TYPES, k % 5)
         return (
-            self.raw("events")
-            .where(F.col("event_type") == "error")
+            self._coded(self.raw("events").where(F.col("event_type") == "error"))
             .select(
                 "event_id",
-                machine_key(F.col("user_id")).alias("machine_id"),
+                "machine_id",
                 kind.alias("event_type"),
                 F.when(kind != "STATE_CHANGE", F.concat(F.lit("EV-"), (k % 7).cast("string")))
                 .when(k % 2 == 0, F.lit("SC-HIGHLOAD"))
@@ -152,14 +159,13 @@ class SharedTables:
         )
 
     def shift_logs(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
+        k = F.col("k")
         hour = F.hour("ts")
         return (
-            self.raw("events")
-            .where(F.col("event_type") == "signup")
+            self._coded(self.raw("events").where(F.col("event_type") == "signup"))
             .select(
                 F.col("event_id").alias("log_id"),
-                machine_key(F.col("user_id")).alias("machine_id"),
+                "machine_id",
                 F.concat(F.lit("OP-"), (F.col("user_id") % 9).cast("string")).alias("operator_id"),
                 F.when((hour >= 6) & (hour < 14), F.lit("DAY"))
                 .when((hour >= 14) & (hour < 22), F.lit("SWING"))
@@ -282,14 +288,22 @@ class SharedTables:
             no_time.alias("resolved_at"),
         )
 
-    def approval_commands(self) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """One of the tables as a stream of files."""
+        return (
+            self.spark.readStream.schema(self.raw(name).schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(self.sf_dir)
+        )
+
+    def approval_commands(self, orders: DataFrame | None = None) -> DataFrame:
         """Two decisions for some orders, invalid actions and unknown orders included."""
         o = F.col("o_orderkey")
         known = F.when(o % 97 == 5, F.concat(F.lit("WO-X"), o.cast("string")))
         turns = F.explode(F.when(o % 200 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         action = _pick(("APPROVE", "REJECT", "ESCALATE"), (o / 100).cast("long") % 3)
         return (
-            self.raw("orders")
+            (self.raw("orders") if orders is None else orders)
             .where(o % 20 < 6)
             .select("o_orderkey", "o_custkey", turns.alias("turn"))
             .select(
