@@ -34,7 +34,7 @@ def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int
         .select(
             key,
             first.alias("_start"),
-            F.greatest(F.lit(1), F.floor((last - first + 1) / pieces)).alias("_width"),
+            F.ceil((last - first + 1) / pieces).alias("_width"),
         )
     )
 
