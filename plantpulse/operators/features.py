@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse import rules
-from plantpulse.functions import epoch_seconds, half_up, hour_floor
+from plantpulse.functions import epoch_seconds, half_up, hour_floor, ratio
 
 SERIES = ["machine_id", "signal_type"]
 
@@ -37,32 +37,52 @@ def rolling_features(hourly: DataFrame, *, frame: str = "rows") -> DataFrame:
     """
     if frame == "rows":
         series = Window.partitionBy(*SERIES).orderBy("hour_bucket")
-
-        def last(n):
-            return series.rowsBetween(1 - n, 0)
-
+        recent = series.rowsBetween(1 - rules.DAY_FRAME, 0)
         earlier = F.lag("avg_value", rules.SHORT_FRAME).over(series)
+        hourly, mean = _running_means(hourly, series)
     else:
         hour = F.floor(epoch_seconds(F.col("hour_bucket")) / 3600)
         series = Window.partitionBy(*SERIES).orderBy(hour)
-
-        def last(n):
-            return series.rangeBetween(1 - n, 0)
-
+        recent = series.rangeBetween(1 - rules.DAY_FRAME, 0)
         earlier = F.first("avg_value").over(
             series.rangeBetween(-rules.SHORT_FRAME, -rules.SHORT_FRAME)
         )
 
+        def mean(n):
+            return F.avg("avg_value").over(series.rangeBetween(1 - n, 0))
+
     avg = F.col("avg_value")
     return hourly.select(
         "*",
-        half_up(F.avg(avg).over(last(rules.SHORT_FRAME)), 4).alias("rolling_6h_avg"),
-        half_up(F.avg(avg).over(last(rules.DAY_FRAME)), 4).alias("rolling_24h_avg"),
+        half_up(mean(rules.SHORT_FRAME), 4).alias("rolling_6h_avg"),
+        half_up(mean(rules.DAY_FRAME), 4).alias("rolling_24h_avg"),
         half_up(avg - earlier, 4).alias("rate_of_change_6h"),
-        half_up(avg - F.avg(avg).over(last(rules.WEEK_FRAME)), 4).alias("baseline_deviation_7d"),
-        half_up(F.stddev_samp("std_value").over(last(rules.DAY_FRAME)), 4)
-        .alias("variability_trend_24h"),
-    )
+        half_up(avg - mean(rules.WEEK_FRAME), 4).alias("baseline_deviation_7d"),
+        half_up(F.stddev_samp("std_value").over(recent), 4).alias("variability_trend_24h"),
+    ).drop("_total", "_count")
+
+
+def _running_means(hourly: DataFrame, series):
+    """Means over the last n rows from running totals.
+
+    A frame of 168 rows is added up anew for every row; a running total less
+    the total n rows earlier costs the same for any n. Hourly means have four
+    decimals, so totals of ten-thousandths are whole numbers and exact.
+    """
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    units = F.round(F.col("avg_value") * 10_000).cast("long")
+    totals = hourly.withColumns({
+        "_total": F.coalesce(F.sum(units).over(so_far), F.lit(0).cast("long")),
+        "_count": F.count("avg_value").over(so_far),
+    })
+
+    def mean(n):
+        def within(column):
+            return F.col(column) - F.lag(column, n, 0).over(series)
+
+        return ratio(within("_total"), within("_count")) / 10_000
+
+    return totals, mean
 
 
 def signal_correlation(hourly: DataFrame) -> DataFrame:

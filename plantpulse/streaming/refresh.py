@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse import rules
-from plantpulse.functions import moment
+from plantpulse.functions import hour_floor, moment
 from plantpulse.operators.context import operating_context
-from plantpulse.operators.features import hourly_stats, rolling_features
+from plantpulse.operators.features import SERIES, hourly_stats, rolling_features
 from plantpulse.operators.health import fleet_health, latest_signal_features, signal_health_score
 from plantpulse.operators.latest import newest
 from plantpulse.operators.readings import clean_readings
 
 
+def _newest_first():
+    return F.desc("reading_timestamp"), F.desc("reading_id")
+
+
 def run_stream(
     stream: DataFrame, path: str, *, name: str, every: str | None = None, mode: str = "append"
 ) -> StreamingQuery:
@@ -58,34 +62,68 @@ def last_versions(df: DataFrame, key: str | list[str]) -> DataFrame:
     return newest(df, key, F.desc("batch_id")).drop("batch_id")
 
 
+def _tail(rows: DataFrame, lookback: int) -> DataFrame:
+    """Per sensor the readings of its newest hour and the ``lookback`` before it."""
+    hour = hour_floor(F.col("reading_timestamp"))
+    marked = rows.join(
+        rows.groupBy("sensor_id").agg(hour_floor(F.max("reading_timestamp")).alias("_newest")),
+        "sensor_id",
+    )
+    inside = marked.where(hour == F.col("_newest"))
+    return inside.unionByName(
+        newest(marked.where(hour < F.col("_newest")), "sensor_id", *_newest_first(), keep=lookback)
+    ).drop("_newest")
+
+
 def refresh_clean(
     batch: DataFrame, batch_id: int, *, root: str, sensors: DataFrame,
     lookback: int = rules.SPIKE_LOOKBACK,
 ) -> None:
-    """Clean the readings of a batch and those whose flags it changes.
+    """Clean the readings of a batch and those whose flags and hours they change.
 
     A new reading changes the flags of later readings of its sensor, so each
-    touched sensor is cleaned again from its earliest new reading on, with the
-    ``lookback`` readings before it.
+    touched sensor is cleaned again from the hour of its earliest new reading.
+    What lies before comes from the tails the last batch left; only sensors
+    with readings from before their tail need the stored history.
     """
     spark = batch.sparkSession
     put_batch(batch, f"{root}/readings", batch_id)
-    known = batches(spark, f"{root}/readings", batch_id)
-    touched = (
-        known.where(F.col("batch_id") == batch_id)
-        .groupBy("sensor_id").agg(F.min("reading_timestamp").alias("_since"))
+    if batch_id == 0:
+        put_batch(batch.limit(0), f"{root}/tails", -1)
+    stored = batches(spark, f"{root}/readings", batch_id)
+    arrived = stored.where(F.col("batch_id") == batch_id).drop("batch_id")
+    tails = batches(spark, f"{root}/tails").where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+
+    newest_hour = tails.groupBy("sensor_id").agg(
+        hour_floor(F.max("reading_timestamp")).alias("_tail_hour")
     )
-    rows = known.drop("batch_id").join(touched, "sensor_id")
-    new = F.col("reading_timestamp") >= F.col("_since")
-    before = newest(
-        rows.where(~new), "sensor_id", F.desc("reading_timestamp"), F.desc("reading_id"),
-        keep=lookback,
+    touched = (
+        arrived.groupBy("sensor_id")
+        .agg(hour_floor(F.min("reading_timestamp")).alias("_since"))
+        .join(newest_hour, "sensor_id", "left")
+        .withColumn("_late", F.coalesce(F.col("_since") < F.col("_tail_hour"), F.lit(False)))
+        .drop("_tail_hour")
     )
+    late = touched.where("_late")
+    before = tails.join(touched.where("not _late"), "sensor_id")
+    if not late.isEmpty():
+        past = stored.where(F.col("batch_id") < batch_id).drop("batch_id")
+        before = before.unionByName(past.join(late, "sensor_id"))
+    rows = arrived.join(touched, "sensor_id").unionByName(before).drop("_late")
+
+    again = F.col("reading_timestamp") >= F.col("_since")
+    context = newest(rows.where(~again), "sensor_id", *_newest_first(), keep=lookback)
     cleaned = clean_readings(
-        rows.where(new).unionByName(before).drop("_since"), sensors, lookback=lookback
+        rows.where(again).unionByName(context).drop("_since"), sensors, lookback=lookback
+    ).join(touched.select("sensor_id", "_since"), "sensor_id").where(again).drop("_since")
+    put_batch(cleaned, f"{root}/clean", batch_id)
+    put_batch(
+        hourly_stats(batches(spark, f"{root}/clean").where(F.col("batch_id") == batch_id)),
+        f"{root}/hourly", batch_id,
     )
+    kept = _tail(rows.drop("_since"), lookback)
     put_batch(
-        cleaned.join(touched, "sensor_id").where(new).drop("_since"), f"{root}/clean", batch_id
+        kept.unionByName(tails.join(touched, "sensor_id", "left_anti")), f"{root}/tails", batch_id
     )
 
 
@@ -93,14 +131,24 @@ def read_clean(spark: SparkSession, root: str) -> DataFrame:
     return last_versions(batches(spark, f"{root}/clean"), "reading_id")
 
 
+def read_hourly(spark: SparkSession, root: str) -> DataFrame:
+    return last_versions(batches(spark, f"{root}/hourly"), [*SERIES, "hour_bucket"])
+
+
 def refresh_fleet(
     batch_id: int, *, spark: SparkSession, root: str, machines: DataFrame, events: DataFrame,
-    as_of: datetime,
+    as_of: datetime, hours: int = 24,
 ) -> None:
-    """Fleet health from the clean readings of all batches so far."""
-    clean = read_clean(spark, root)
-    features = rolling_features(hourly_stats(clean))
-    scores = signal_health_score(latest_signal_features(features, as_of=as_of))
+    """Fleet health from the hourly statistics of all batches so far.
+
+    The score of the last hours needs at most those hours' rows of a series and
+    the longest frame before them; older rows are cut off before the shuffle.
+    """
+    needed = hours + 1 + rules.WEEK_FRAME
+    hourly = newest(read_hourly(spark, root), SERIES, F.desc("hour_bucket"), keep=needed)
+    scores = signal_health_score(
+        latest_signal_features(rolling_features(hourly), as_of=as_of, hours=hours)
+    )
     readings = batches(spark, f"{root}/readings", batch_id).drop("batch_id")
     context = operating_context(machines, events, readings, as_of=as_of)
     put_batch(fleet_health(machines, context, scores, as_of=as_of), f"{root}/fleet", batch_id)

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 from plantpulse.operators import readings as R
+from plantpulse.operators.features import hourly_stats
 from plantpulse.operators.readings import clean_readings
 from plantpulse.sources.store import read_table
 from plantpulse.streaming import lifecycle, refresh, windows
@@ -20,6 +21,20 @@ def arriving(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def test_refresh_in_order_needs_no_history(spark, frame, tmp_path):
+    """Later batches read tails only: the stored readings of the first are gone."""
+    rows, root = hourly_rows(), str(tmp_path)
+    sensors = frame(SENSOR, sensor("A-RPM", "rpm"))
+    for i in range(3):
+        batch = frame(READING, *rows[30 * i:30 * i + 30])
+        refresh.refresh_clean(batch, i, root=root, sensors=sensors)
+        if i == 0:
+            refresh.put_batch(batch.limit(0), f"{root}/readings", 0)
+    whole = clean_readings(frame(READING, *rows), sensors)
+    got = refresh.read_clean(spark, root).select(whole.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def sensors_of(frame):
     names = sorted({r[1] for r in mixed_rows()})
     return frame(SENSOR, *[sensor(n, every=300) for n in names])
@@ -44,6 +59,10 @@ def test_refreshed_clean_equals_batch_with_late_rows(spark, frame, tmp_path):
     assert sorted(map(tuple, refresh.read_clean(spark, root).select(columns).collect()), key=str) == sorted(
         map(tuple, whole.collect()), key=str
     )
+    hours = refresh.read_hourly(spark, root)
+    assert sorted(map(tuple, hours.collect()), key=str) == sorted(
+        map(tuple, hourly_stats(whole).select(hours.columns).collect()), key=str
+    )
     refresh.log_refresh(spark, query, root=root, dataset="clean", layer="STAGING", target_lag_sec=300, refreshed_at=NOW)
     log = read_table(spark, root, "refresh_log").first()
     assert (log.dataset, log.state, log.batch_id) == ("clean", "SUCCEEDED", 2)
@@ -56,8 +75,6 @@ def hourly_rows():
 
 
 def test_hourly_stream_equals_batch_for_closed_hours(spark, frame, tmp_path):
-    from plantpulse.operators.features import hourly_stats
-
     rows, root = hourly_rows(), str(tmp_path)
     for i in range(3):
         frame(READING, *rows[30 * i:30 * i + 30]).coalesce(1).write.mode("append").parquet(f"{root}/in")
