@@ -672,6 +672,7 @@ Q["suppress_offline"] = f"""select reading_id, r.machine_id,
        and (down_to is null or reading_timestamp < down_to))
   or coalesce(operating_state in {inside(rules.SUPPRESSED_STATES)}, false) as suppressed
   from readings r left join machines using (machine_id)"""
+Q["suppress_offline_sliced"] = Q["suppress_offline"]
 Q["load_pct"] = "select machine_id, avg_rpm, load_pct, avg_current, current_pct from operating"
 Q["suppress_signals"] = "select machine_id, current_state, suppress_signals from operating"
 Q["maintenance_totals"] = """select machine_id, failure_count,

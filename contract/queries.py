@@ -93,6 +93,14 @@ def suppress_offline(p):
     )
 
 
+@query()
+def suppress_offline_sliced(p):
+    """The same with every machine treated as a hot one."""
+    return readings.suppress_offline(
+        p.readings, p.events, p.machines, hot_rows=40, slice_rows=16
+    ).select("reading_id", "machine_id", "suppressed")
+
+
 # --- context ----------------------------------------------------------------
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse import rules
 from plantpulse.functions import epoch_seconds, half_up, level
-from plantpulse.operators.slices import HOT_ROWS, SLICE_ROWS, with_lookback
+from plantpulse.operators.slices import HOT_ROWS, SLICE_ROWS, with_last_state, with_lookback
 
 # Differences below this are rounding noise of a mean over four-decimal readings.
 NOISE = 1e-9
@@ -170,40 +170,30 @@ def flat_lines(
     )
 
 
-def suppress_offline(readings: DataFrame, events: DataFrame, machines: DataFrame) -> DataFrame:
+def suppress_offline(
+    readings: DataFrame, events: DataFrame, machines: DataFrame, **slicing
+) -> DataFrame:
     """Marks readings taken while their machine was down.
 
-    A machine is down from a SHUTDOWN until its next state event. The intervals
-    are cut at midnight, so that readings meet them in an equality join on
-    (machine, day) and only the intervals of that day are compared.
+    A machine is down from a SHUTDOWN until its next state event, or always
+    while it is registered as offline or in maintenance.
     """
-    order = Window.partitionBy("machine_id").orderBy("event_timestamp", "event_id")
-    down = (
-        events.where(F.col("event_type").isin(*rules.STATE_EVENTS))
-        .select("machine_id", "event_type", F.col("event_timestamp").alias("down_from"),
-                F.lead("event_timestamp").over(order).alias("down_to"))
-        .where(F.col("event_type") == "SHUTDOWN")
-        .select("machine_id", "down_from", "down_to")
-    )
-    last_day = readings.select(F.max("reading_timestamp").cast("date")).scalar()
-    first = F.col("down_from").cast("date")
-    end = F.greatest(first, F.coalesce(F.col("down_to").cast("date"), last_day, first))
-    days = down.select("machine_id", "down_from", "down_to", F.explode(F.sequence(first, end)).alias("day"))
-    hits = (
-        readings.select("reading_id", "machine_id", "reading_timestamp",
-                        F.col("reading_timestamp").cast("date").alias("day"))
-        .join(days, ["machine_id", "day"])
-        .where((F.col("reading_timestamp") >= F.col("down_from"))
-               & (F.col("down_to").isNull() | (F.col("reading_timestamp") < F.col("down_to"))))
-        .select("reading_id").distinct()
-        .withColumn("_down", F.lit(True))
+    states = events.where(F.col("event_type").isin(*rules.STATE_EVENTS)).select(
+        "machine_id", "event_id", F.col("event_timestamp").alias("reading_timestamp"),
+        F.col("event_type").alias("_state"),
     )
     registered = machines.select(
         "machine_id", F.col("operating_state").isin(*rules.SUPPRESSED_STATES).alias("_out")
     )
+    stated = with_last_state(
+        readings, states, key="machine_id", ts="reading_timestamp", tie="event_id",
+        state="_state", **slicing,
+    )
     return (
-        readings.join(registered, "machine_id", "left")
-        .join(hits, "reading_id", "left")
-        .withColumn("suppressed", F.coalesce(F.col("_down"), F.col("_out"), F.lit(False)))
-        .drop("_down", "_out")
+        stated.join(registered, "machine_id", "left")
+        .withColumn(
+            "suppressed",
+            F.coalesce((F.col("_state") == "SHUTDOWN") | F.col("_out"), F.col("_out"), F.lit(False)),
+        )
+        .drop("_state", "_out")
     )

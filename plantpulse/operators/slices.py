@@ -86,3 +86,61 @@ def with_lookback(
         .select(key, "_slice", "_row.*", F.lit(True).alias("_before"))
     )
     return marked.unionByName(carried_rows, allowMissingColumns=True)
+
+
+def with_last_state(
+    rows: DataFrame,
+    events: DataFrame,
+    *,
+    key: str,
+    ts: str,
+    tie: str,
+    state: str,
+    hot_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``rows`` plus the ``state`` of the last event of their key at or before them.
+
+    Rows and events are laid on one time line and the state is carried forward,
+    so a row is never paired with the events of its key. ``events`` has key, ts,
+    tie and state; the slices of hot keys start with the state before them.
+    """
+    spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
+    position = F.floor((epoch_seconds(F.col(ts)) - F.col("_start")) / F.col("_width"))
+    line = (
+        rows.withColumns({state: F.lit(None).cast("string"), "_kind": F.lit(2)})
+        .unionByName(
+            events.select(key, ts, state, F.col(tie).alias("_tie"), F.lit(1).alias("_kind")),
+            allowMissingColumns=True,
+        )
+        .join(F.broadcast(spans), key, "left")
+    )
+    placed = line.withColumn("_slice", F.coalesce(position, F.lit(0)))
+
+    is_event = F.col("_kind") == 1
+    ends = (
+        line.select(key, ts, state, "_tie", "_kind", "_start", "_width")
+        .where(F.col("_start").isNotNull())
+        .withColumn("_slice", position)
+        .groupBy(key, "_slice")
+        .agg(F.max(F.when(is_event, F.struct(ts, "_tie", state)))[state].alias("_end"))
+    )
+    earlier = (
+        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = ends.select(
+        key, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias(state),
+        F.lit(0).alias("_kind"),
+    ).where(F.col(state).isNotNull())
+
+    so_far = (
+        Window.partitionBy(key, "_slice")
+        .orderBy(F.asc_nulls_first(ts), "_kind", "_tie")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        placed.unionByName(starts, allowMissingColumns=True)
+        .withColumn(state, F.last(state, ignorenulls=True).over(so_far))
+        .where(F.col("_kind") == 2)
+        .select(*rows.columns, state)
+    )

@@ -131,7 +131,8 @@ def test_flat_lines(frame):
     assert {r.reading_id for r in sliced.collect() if r.is_flat} == {3}
 
 
-def test_suppress_offline(frame):
+@pytest.mark.parametrize("slicing", [{}, {"hot_rows": 1, "slice_rows": 1}, {"hot_rows": 2, "slice_rows": 2}])
+def test_suppress_offline(frame, slicing):
     events = frame(
         "event_id long, machine_id string, event_type string, event_timestamp timestamp_ntz",
         (1, "A", "SHUTDOWN", "2024-01-01 00:02:00"), (2, "A", "ALARM", "2024-01-01 00:03:00"),
@@ -140,7 +141,7 @@ def test_suppress_offline(frame):
     machines = frame("machine_id string, operating_state string",
                      ("A", "RUNNING"), ("B", "RUNNING"), ("C", "MAINTENANCE"))
     rows = series([1.0] * 6, "A-RPM") + series([1.0] * 3, "B-RPM", 86400, 10) + series([1.0], "C-RPM", 60, 20)
-    out = R.suppress_offline(frame(READING, *rows), events, machines).collect()
+    out = R.suppress_offline(frame(READING, *rows), events, machines, **slicing).collect()
     assert len(out) == 10
     assert {r.reading_id for r in out if r.suppressed} == {2, 3, 11, 12, 20}
 
