@@ -434,34 +434,34 @@ def maintenance_window(p):
 ORDER_COLUMNS = ["work_order_id", "incident_id", "machine_id", "status"]
 
 
-def _approved(p):
+def _approved(p, incidents=None):
     return work_orders.apply_approvals(
-        p.work_orders, p.tables.approval_commands(), p.incidents, as_of=AS_OF
+        p.work_orders, p.tables.approval_commands(), incidents, as_of=AS_OF
     )
 
 
 def _resolved(p):
     return work_orders.apply_resolutions(
-        p.work_orders, p.tables.resolution_commands(), p.incidents, as_of=AS_OF
+        p.work_orders, p.tables.resolution_commands(), as_of=AS_OF
     )
 
 
-@query(shared=True)
+@query()
 def apply_approvals(p):
     return _approved(p).orders.select(*ORDER_COLUMNS, "approved_by", "approved_at", "updated_at")
 
 
-@query(shared=True)
+@query()
 def approval_results(p):
     return _approved(p).results
 
 
 @query(shared=True)
 def approval_incidents(p):
-    return _approved(p).incidents.select("incident_id", "machine_id", "status", "updated_at")
+    return _approved(p, p.incidents).incidents.select("incident_id", "machine_id", "status", "updated_at")
 
 
-@query(shared=True)
+@query()
 def apply_resolutions(p):
     return _resolved(p).orders.select(
         *ORDER_COLUMNS, "actual_root_cause", "actual_parts_replaced", "actual_repair_hrs",
@@ -469,7 +469,7 @@ def apply_resolutions(p):
     )
 
 
-@query(shared=True)
+@query()
 def resolution_results(p):
     return _resolved(p).results
 

@@ -58,3 +58,12 @@ def scaled_text(value: Column, digits: int) -> Column:
 def plain_number(value: Column, digits: int) -> Column:
     """Shortest text of a number: no trailing zeros and no bare point."""
     return F.regexp_replace(scaled_text(value, digits), r"\.?0+$", "") if digits else scaled_text(value, 0)
+
+
+def number_or(value: Column, default: float = 0.0) -> Column:
+    """A value read as a number, or the default where it is missing or no number."""
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(float(default)))
+
+
+def text_or(value: Column, default: str = "N/A") -> Column:
+    return F.coalesce(value.cast("string"), F.lit(default))

@@ -15,9 +15,8 @@ DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="shared tables are not here")
 
 SAMPLE = [
-    "clean_readings", "clean_readings_sliced", "rolling_features_time", "fleet_health", "detect_anomalies",
-    "failure_forecasts", "maintenance_context", "build_incidents", "draft_work_orders", "production_impact",
-    "similar_cases", "key_checks", "stream_sliding_mean",
+    "clean_readings_sliced", "rolling_features_time", "fleet_health", "failure_forecasts",
+    "draft_work_orders", "similar_cases", "suppress_offline_sliced",
 ]
 
 

@@ -46,6 +46,14 @@ def test_texts(spark):
     assert one(spark, fn.plain_number(F.lit(100.0), 1)) == "100"
 
 
+def test_values_with_defaults(spark):
+    assert one(spark, fn.number_or(F.lit("2.5"))) == 2.5
+    assert one(spark, fn.number_or(F.lit("n/a"), 7)) == 7.0
+    assert one(spark, fn.number_or(F.lit(None).cast("double"))) == 0.0
+    assert one(spark, fn.text_or(F.lit(None).cast("string"))) == "N/A"
+    assert one(spark, fn.text_or(F.lit(3))) == "3"
+
+
 def test_keys_keep_all_digits(spark):
     assert one(spark, incident_key(F.lit(7))) == "INC-007"
     assert one(spark, incident_key(F.lit(12345))) == "INC-12345"

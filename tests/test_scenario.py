@@ -5,10 +5,11 @@ from decimal import Decimal
 
 import pytest
 
-from plantpulse.operators import checks, incidents, reports, work_orders
+from plantpulse.operators import checks, reports, work_orders
+from plantpulse.plans.cycle import run_cycle
 from plantpulse.plans.fleet import FleetPlan
 from plantpulse.sources.schemas import TABLES
-from plantpulse.sources.store import StoredTables, append_table, conform, replace_table, write_readings
+from plantpulse.sources.store import StoredTables, conform, replace_table, write_readings
 
 START = datetime(2024, 1, 1)
 HOURS = 720
@@ -127,10 +128,12 @@ def test_incident_to_work_order(plan):
     assert "BEARING_DEGRADATION | N/A | N/A | 2023-12-02" in text.context
 
 
-def test_notifications_are_logged(plan, tmp_path):
-    spark = plan.machines.sparkSession
-    sent = incidents.incident_notifications(plan.incidents)
-    append_table(sent, "notification_log", str(tmp_path))
-    log = StoredTables(spark, str(tmp_path)).notification_log()
-    assert {r.status for r in log.collect()} == {"SENT"}
-    assert incidents.incident_notifications(plan.incidents, log).count() == 0
+def test_cycle_announces_once(plan, tmp_path):
+    stored = StoredTables(plan.machines.sparkSession, str(tmp_path))
+    serious = plan.incidents.where("severity IN ('CRITICAL', 'HIGH')").count()
+    first = run_cycle(plan.incidents, str(tmp_path), as_of=NOW).first()
+    assert (first.new_incidents, first.notifications) == (3, serious)
+    assert {(r.status, r.sent_at) for r in stored.notification_log().collect()} == {("SENT", NOW)}
+    again = run_cycle(plan.incidents, str(tmp_path), as_of=NOW, log=stored.notification_log()).first()
+    assert again.notifications == 0
+    assert stored.notification_log().count() == serious
