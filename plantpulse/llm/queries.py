@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import fingerprints, packing, token_counts, word_table
+from plantpulse.llm import (
+    extraction, fingerprints, jaccard_join, licences, neighbours, packing, personal, quality,
+    token_counts, word_table,
+)
 from plantpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +48,38 @@ def op10_word_table(spark, sf_dir):
     return word_table.encode_decode(
         table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True
     )
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.grades(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_extraction(spark, sf_dir):
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_licences(spark, sf_dir):
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_licences"] = licences.oracle()
+
+
+@query
+def op4_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_personal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return personal.personal_data(docs, personal.train(docs))
