@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from plantpulse.llm.common import parts, ship, text_bytes, whole_text
+from plantpulse.llm.common import parts, ship, text_bytes, unlisted, whole_text
 from plantpulse.llm.graph import components, local_components
 from plantpulse.operators.durable import durable
 
@@ -459,3 +459,23 @@ def jaccard_components(
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents, all columns, without those that are near copies of one with a smaller id.
+
+    The document whose id is its group's component_id stays. Rows that repeat an id
+    are one document: where the table has such ids, the least of their rows by size
+    and text stays. Documents without an id cannot be told apart and stay.
+    """
+    groups = durable(jaccard_components(docs, words, num, den).select("doc_id", "component_id"))
+    kept = unlisted(docs, groups.filter("component_id < doc_id").select("doc_id").distinct())
+    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    own = "_least"
+    while own in docs.columns:
+        own = "_" + own
+    order = Window.partitionBy("doc_id").orderBy(F.length(whole_text()), whole_text())
+    repeated = kept.join(again, "doc_id", "left_semi").withColumn(own, F.row_number().over(order)).filter(F.col(own) == 1)
+    return unlisted(kept, again).unionByName(repeated.drop(own))
