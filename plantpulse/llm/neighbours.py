@@ -63,15 +63,17 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + _ERF(x / math.sqrt(2)))
 
 
-def fit(sample: np.ndarray, tables: int = 8, functions: int = 8, seed: int = 5) -> HashTables:
-    """Tables whose cells are twice as wide as the median distance to the nearest other vector of a sample.
+def fit(sample: np.ndarray, rank: int = 1, tables: int = 8, functions: int = 8, seed: int = 5) -> HashTables:
+    """Tables whose cells are twice as wide as the median distance to the rank-th nearest other vector of a sample.
 
-    Nearest in a sample is farther than nearest of all, so the chances are on the safe side.
+    With the wanted number of neighbours times the sample's share of all vectors,
+    rounded up, as the rank, that distance is not below the one to be found.
     """
     square = (sample * sample).sum(axis=1)
     apart = square[:, None] + square[None, :] - 2 * sample @ sample.T
     np.fill_diagonal(apart, np.inf)
-    nearest = np.sqrt(np.maximum(apart.min(axis=1), 0)) if len(sample) > 1 else np.ones(1)
+    rank = min(rank, len(sample) - 1)
+    nearest = np.sqrt(np.maximum(np.partition(apart, rank - 1, axis=1)[:, rank - 1], 0)) if rank else np.ones(1)
     distance = float(np.median(nearest)) or float(nearest.max()) or 1.0
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, functions, sample.shape[1]))
@@ -220,7 +222,7 @@ def taking_part(rows: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(
-    rows: DataFrame, every: int = 100, k: int = 10, success: float = 0.3,
+    rows: DataFrame, every: int = 100, k: int = 10, success: float = 0.35,
     sample: int = 2000, shard_rows: int = 8192, tables: int = 8, functions: int = 8,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each vec_id divisible by `every`.
@@ -246,11 +248,11 @@ def nearest_neighbours(
     result = "query_id long, rank int, vec_id long, score double"
     if not chosen.num_rows:
         return spark.createDataFrame([], result)
-    hashes = fit(_matrix(chosen["vector"]), tables, functions)
+    count = valid.count()
+    hashes = fit(_matrix(chosen["vector"]), math.ceil(k * min(1.0, chosen.num_rows / count)), tables, functions)
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = valid.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
     queries = valid.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector")
-    count = valid.count()
     shards = parts(count, shard_rows)
     coded = kept.mapInArrow(_coded(hashes), _INDEX)
     # Each table has at most 1000 of these, whatever the size of the data.
