@@ -280,7 +280,7 @@ def nearest_neighbours(
     if few.isEmpty():
         return first
     everywhere = few.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"),
         F.lit(None).cast("array<long>").alias("codes"), "query_id", "vector",
     )
     rest = ranked(index.filter(F.col("part") < shards), everywhere)
