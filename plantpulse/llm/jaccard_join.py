@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from plantpulse.llm.common import parts, ship, text_bytes, unlisted, whole_text
 from plantpulse.llm.graph import components, local_components
 from plantpulse.operators.durable import durable
 
-#: Elements that a signature should hold on average, so that unrelated sets seldom share one.
-INFORMATIVE = 7.0
+#: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
+INFORMATIVE = 4.0
 #: Sets compared in one task; larger families are compared block by block.
 BLOCK = 512
 
@@ -206,8 +206,9 @@ def scheme(num: int, den: int, low: int, high: int) -> tuple[int, int, int, np.n
     Sets of which the smaller one is in the band and which are similar enough differ
     in at most k elements. In one of n1 parts of the domain they differ in at most k2,
     as n1 * (k2 + 1) > k; of its n2 parts then at least n2 - k2 agree, and the
-    subsets of n2 - k2 parts are enumerated. The cheapest choice whose signatures
-    hold enough elements is taken.
+    subsets of n2 - k2 parts are enumerated. Of the choices whose signatures hold
+    enough elements the one with the fewest is taken; empty ones, which are replaced
+    by as many as there are in all, count with their chance.
     """
     k = (den - num) * (high + high * den // num) // (den + num)
     best = None
@@ -217,7 +218,8 @@ def scheme(num: int, den: int, low: int, high: int) -> tuple[int, int, int, np.n
             cost, held = n1 * comb(n2, k2), low * (n2 - k2) / (n1 * n2)
             if cost > max(64, 4 * high):
                 continue
-            rank = (held < INFORMATIVE, cost if held >= INFORMATIVE else -held, cost)
+            expected = cost + cost * cost * exp(-held)
+            rank = (held < INFORMATIVE, expected if held >= INFORMATIVE else -held, expected)
             if best is None or rank < best[0]:
                 best = (rank, n1, n2, k2)
     _, n1, n2, k2 = best
@@ -260,7 +262,9 @@ def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarra
         empty = sigs[held == 0]
         out.append(sigs[held > 0])
         if len(empty):
-            second, _ = _enumerated(elements, band, made, 2)
+            # One part more than may differ: the fewest signatures that a second partition can do with.
+            plain = (made[0] * (made[2] + 1), 1, 0, np.ones((1, 1), dtype=_U))
+            second, _ = _enumerated(elements, band, plain, 2)
             out.append(mixed(empty[:, None] ^ (second[None, :] * _U(3))).ravel())
     return np.concatenate(out)
 
@@ -268,6 +272,17 @@ def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarra
 _SIGNED = "bucket int, sigs binary, nodes binary"
 
 
+def _upper(sigs: np.ndarray) -> bytes:
+    """The upper five bytes of signatures: within a bucket that is enough, and what meets by chance is checked anyway."""
+    return np.ascontiguousarray(sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _from_upper(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
     def rows_of(nodes: list[int], sigs: list[np.ndarray]):
         every = np.concatenate(sigs)
@@ -278,7 +293,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(range(buckets), pa.int32()),
-                pa.array([every[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                pa.array([_upper(every[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
                 pa.array([_packed(node[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
             ],
             names=["bucket", "sigs", "nodes"],
@@ -302,7 +317,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
 
 def _sharing(key, rows):
     """A forest over the sets that share signatures of a bucket: at most one edge for each set."""
-    sigs = np.concatenate([np.frombuffer(s, dtype="<u8") for s in rows["sigs"].to_pylist()])
+    sigs = np.concatenate([_from_upper(s) for s in rows["sigs"].to_pylist()])
     nodes = np.concatenate([_unpacked(n, "<i8") for n in rows["nodes"].to_pylist()])
     order = np.argsort(sigs, kind="stable")
     sigs, nodes = sigs[order], nodes[order]
