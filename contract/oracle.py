@@ -201,7 +201,7 @@ select o_orderkey * 2 + turn as command_seq,
   case when turn = 1 then 'APPROVE'
     else {pick(('APPROVE', 'REJECT', 'ESCALATE'), '(o_orderkey // 100) % 3')} end as action
 from orders, (values (0), (1)) v(turn)
-where o_orderkey % 20 < 6 and (turn = 0 or o_orderkey % 200 = 0)"""
+where turn = 0 or o_orderkey % 200 = 0"""
 
 S["resolution_commands"] = f"""
 select o_orderkey as command_seq,
@@ -211,12 +211,12 @@ select o_orderkey as command_seq,
   'Part ' || cast(o_orderkey % 5 as varchar) as parts,
   cast(o_orderkey % 8 as double) + 0.5 as hours,
   'Finding ' || cast(o_orderkey % 4 as varchar) as findings
-from orders where o_orderkey % 20 < 3"""
+from orders"""
 
 S["triage_commands"] = f"""
 select o_orderkey as command_seq, {incident_id('((o_orderkey // 3) % 50 + 1)')} as incident_id,
   case when o_orderstatus = 'F' then 'ACKNOWLEDGE' else 'FALSE_POSITIVE' end as action
-from orders where o_orderkey % 3 = 0"""
+from orders"""
 
 # --- telemetry --------------------------------------------------------------
 
@@ -950,6 +950,14 @@ Q["densify"] = f"""select s.sensor_id, s.machine_id, s.signal_type, slot,
   left join readings x on x.sensor_id = s.sensor_id and reading_timestamp >= slot
     and reading_timestamp < slot + interval 6 hours
   group by 1, 2, 3, 4"""
+Q["densify_uneven"] = f"""select s.sensor_id, s.machine_id, s.signal_type, slot,
+  count(reading_id) as readings, {r('avg(reading_value)', 4)} as slot_avg,
+  count(reading_id) = 0 as is_missing
+  from (select *, unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:59:59', interval 7 hours)) as slot
+        from sensors) s
+  left join readings x on x.sensor_id = s.sensor_id and reading_timestamp >= slot
+    and reading_timestamp < least(slot + interval 7 hours, timestamp '2024-01-31')
+  group by 1, 2, 3, 4"""
 Q["classify_shift"] = """select reading_id,
   case when h between 6 and 14 then 'DAY' when h between 15 and 22 then 'SWING' else 'NIGHT' end as shift,
   case when h between 6 and 14 then 1.1::double when h between 15 and 22 then 1.0::double else 0.7::double end as shift_load

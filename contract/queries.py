@@ -705,6 +705,14 @@ def densify(p):
     )
 
 
+@query()
+def densify_uneven(p):
+    """A step that does not divide the time: the last slot is shorter."""
+    return preparation.densify(
+        p.sensors, p.readings, start=datetime(2024, 1, 1), end=AS_OF, step_minutes=420
+    )
+
+
 @query()
 def classify_shift(p):
     return preparation.classify_shift(p.readings, "reading_timestamp").select(

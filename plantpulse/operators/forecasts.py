@@ -108,9 +108,20 @@ def forecast_confidence(slopes: DataFrame) -> DataFrame:
 
 
 def slopes_with_limits(daily: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Slopes with the limits of the series' sensor.
+
+    Where a machine has several sensors of one signal, the one named after machine
+    and signal counts, or else the first by id: a series has one forecast.
+    """
     limits = [c for c in ("warning_threshold", "critical_threshold", "min_threshold")
               if c in sensors.columns]
-    return trend_slope(daily).join(sensors.select(*SERIES, *limits), SERIES)
+    if not limits:
+        return trend_slope(daily).join(sensors.select(*SERIES).distinct(), SERIES)
+    named = F.col("sensor_id") != F.concat_ws("-", *SERIES)
+    one = sensors.groupBy(*SERIES).agg(
+        F.min_by(F.struct(*limits), F.struct(named, "sensor_id")).alias("_limits")
+    )
+    return trend_slope(daily).join(one.select(*SERIES, "_limits.*"), SERIES)
 
 
 def failure_forecasts(

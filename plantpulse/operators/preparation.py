@@ -65,12 +65,12 @@ def densify(
 ) -> DataFrame:
     """Every sensor and time slot from ``start`` to before ``end``, with the slot's mean.
 
-    Readings are averaged per slot before the join, so each side has at most
-    one row per sensor and slot.
+    The last slot may be shorter than the step. Readings are averaged per slot
+    before the join, so each side has at most one row per sensor and slot.
     """
     first, last = as_moment(start), as_moment(end)
     slots = F.sequence(
-        moment(first), moment(last) - F.make_dt_interval(mins=F.lit(step_minutes)),
+        moment(first), moment(last) - F.expr("interval 1 microsecond"),
         F.make_dt_interval(mins=F.lit(step_minutes)),
     )
     grid = sensors.select("sensor_id", "machine_id", "signal_type", F.explode(slots).alias("slot"))

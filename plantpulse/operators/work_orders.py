@@ -68,8 +68,8 @@ def maintenance_window(incidents: DataFrame) -> DataFrame:
 
 def allocate_order_ids(accepted: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Order numbers that follow the highest one in use, by priority."""
-    number = F.substring("work_order_id", 4, 18).try_cast("long")
-    highest = work_orders.select(F.coalesce(F.max(number), F.lit(0))).scalar()
+    number = F.expr("substring(work_order_id, 4)").try_cast("decimal(38,0)")
+    highest = work_orders.select(F.coalesce(F.max(number), F.lit(0).cast("decimal(38,0)"))).scalar()
     order = [F.desc("priority_score"), F.asc("incident_id")]
     return (
         number_rows(accepted, order, "_number")

@@ -301,14 +301,13 @@ class SharedTables:
         )
 
     def approval_commands(self, orders: DataFrame | None = None) -> DataFrame:
-        """Two decisions for some orders, invalid actions and unknown orders included."""
+        """A decision for every order, a second one for some; invalid actions and unknown orders included."""
         o = F.col("o_orderkey")
         known = F.when(o % 97 == 5, F.concat(F.lit("WO-X"), o.cast("string")))
         turns = F.explode(F.when(o % 200 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         action = _pick(("APPROVE", "REJECT", "ESCALATE"), (o / 100).cast("long") % 3)
         return (
             (self.raw("orders") if orders is None else orders)
-            .where(o % 20 < 6)
             .select("o_orderkey", "o_custkey", turns.alias("turn"))
             .select(
                 (o * 2 + F.col("turn")).alias("command_seq"),
@@ -323,7 +322,6 @@ class SharedTables:
         o = F.col("o_orderkey")
         return (
             self.raw("orders")
-            .where(o % 20 < 3)
             .select(
                 o.alias("command_seq"),
                 F.when(o % 97 == 5, F.concat(F.lit("WO-X"), o.cast("string")))
@@ -339,7 +337,6 @@ class SharedTables:
         o = F.col("o_orderkey")
         return (
             self.raw("orders")
-            .where(o % 3 == 0)
             .select(
                 o.alias("command_seq"),
                 incident_key((o / 3).cast("long") % 50 + 1).alias("incident_id"),

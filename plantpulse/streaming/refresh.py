@@ -142,10 +142,12 @@ def refresh_fleet(
     """Fleet health from the hourly statistics of all batches so far.
 
     The score of the last hours needs at most those hours' rows of a series and
-    the longest frame before them; older rows are cut off before the shuffle.
+    the longest frame before them; rows after the as-of time and older ones are cut
+    off before the shuffle.
     """
     needed = hours + 1 + rules.WEEK_FRAME
-    hourly = newest(read_hourly(spark, root), SERIES, F.desc("hour_bucket"), keep=needed)
+    until = read_hourly(spark, root).where(F.col("hour_bucket") <= moment(as_of))
+    hourly = newest(until, SERIES, F.desc("hour_bucket"), keep=needed)
     scores = signal_health_score(
         latest_signal_features(rolling_features(hourly), as_of=as_of, hours=hours)
     )

@@ -55,6 +55,18 @@ def test_forecast_confidence(frame, slope, high, warning, level):
     assert out.confidence_level == level
 
 
+def test_two_sensors_of_a_signal_give_one_forecast(frame):
+    sensors = frame(
+        "sensor_id string, machine_id string, signal_type string, warning_threshold double, critical_threshold double",
+        ("A-1", "A", "VIBRATION", 1.0, 2.0), ("A-VIBRATION", "A", "VIBRATION", 7.0, 12.0), ("A-0", "A", "RPM", 3.0, 4.0),
+        ("A-2", "A", "RPM", 5.0, 6.0),
+    )
+    daily = frame(DAILY, *days("A", float), *days("A", float, signal="RPM"))
+    out = {r.signal_type: r.critical_threshold for r in forecasts.failure_forecasts(daily, sensors, as_of=NOW).collect()}
+    assert forecasts.failure_forecasts(daily, sensors, as_of=NOW).count() == 2
+    assert out == {"VIBRATION": 12.0, "RPM": 4.0}
+
+
 FORECAST = ("machine_id string, signal_type string, predicted_failure_mode string, risk_horizon string, "
             "estimated_days_to_threshold double, current_value double, trend_slope_7d double, confidence_level string")
 CONTEXT = ("machine_id string, machine_name string, machine_type string, criticality string, health_score double, "

@@ -140,6 +140,16 @@ def test_densify(frame):
     assert all(r.is_missing for r in out if r.sensor_id == "B-RPM")
 
 
+def test_densify_keeps_a_shorter_last_slot(frame):
+    sensors = frame("sensor_id string, machine_id string, signal_type string", ("A-RPM", "A", "RPM"))
+    readings = frame(
+        "sensor_id string, reading_value double, reading_timestamp timestamp_ntz",
+        ("A-RPM", 1.0, "2024-01-01 00:10:00"), ("A-RPM", 3.0, "2024-01-01 01:10:00"), ("A-RPM", 9.0, "2024-01-01 01:30:00"),
+    )
+    out = P.densify(sensors, readings, start=datetime(2024, 1, 1), end=datetime(2024, 1, 1, 1, 30), step_minutes=60)
+    assert {(r.slot.hour, r.readings, r.slot_avg) for r in out.collect()} == {(0, 1, 1.0), (1, 1, 3.0)}
+
+
 @pytest.mark.parametrize("hour,shift", [(5, "NIGHT"), (6, "DAY"), (14, "DAY"), (15, "SWING"), (22, "SWING"), (23, "NIGHT")])
 def test_classify_shift(frame, hour, shift):
     assert P.classify_shift(frame("ts timestamp_ntz", (f"2024-01-01 {hour:02}:59:00",)), "ts").first().shift == shift

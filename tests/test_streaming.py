@@ -1,10 +1,14 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from plantpulse.operators import readings as R
-from plantpulse.operators.features import hourly_stats
+from plantpulse.operators.features import hourly_stats, rolling_features
+from plantpulse.operators.health import latest_signal_features, signal_health_score
 from plantpulse.operators.readings import clean_readings
 from plantpulse.sources.store import read_table
 from plantpulse.streaming import lifecycle, refresh, windows
+from test_context import EVENT, MACHINE, machine
 from test_readings import READING, SENSOR, START, mixed_rows, sensor
 from test_work_orders import ORDER, one_by_one, order
 
@@ -74,6 +78,23 @@ def hourly_rows():
     ]
 
 
+def test_refreshed_fleet_of_an_earlier_time(spark, frame, tmp_path):
+    """Hours after the as-of time neither count nor push the ones before it out."""
+    root = str(tmp_path)
+    rows = [(i, "A-RPM", "A", "RPM", 50.0 + i % 3, START + timedelta(hours=i), "GOOD") for i in range(400)]
+    sensors = frame(SENSOR, sensor("A-RPM", "rpm", every=7200))
+    machines, events = frame(MACHINE, machine("A")), frame(EVENT)
+    refresh.refresh_clean(frame(READING, *rows), 0, root=root, sensors=sensors)
+    for hours in (150, 399):
+        now = START + timedelta(hours=hours)
+        refresh.refresh_fleet(hours, spark=spark, root=root, machines=machines, events=events, as_of=now)
+        got = refresh.batches(spark, f"{root}/fleet", hours).first()
+        hourly = hourly_stats(clean_readings(frame(READING, *rows), sensors)).where(F.col("hour_bucket") <= F.lit(now).cast("timestamp_ntz"))
+        scores = signal_health_score(latest_signal_features(rolling_features(hourly), as_of=now, hours=24))
+        want = scores.first().signal_health_score
+        assert want is not None and got.health_score == want
+
+
 def test_hourly_stream_equals_batch_for_closed_hours(spark, frame, tmp_path):
     rows, root = hourly_rows(), str(tmp_path)
     for i in range(3):

@@ -55,6 +55,12 @@ def test_drafting(frame):
     assert {i for i, s in states.items() if s == "WORK_ORDER_PENDING"} == {"INC-002", "INC-004", "INC-006"}
 
 
+def test_numbers_follow_very_long_ones(frame):
+    accepted = frame(INCIDENT, incident(1, "A", "OVERHEATING", 50.0))
+    orders = frame("work_order_id string", ("WO-12345678901234567890123",), ("WO-99",), ("WO-X7",))
+    assert W.allocate_order_ids(accepted, orders).first().work_order_id == "WO-12345678901234567890124"
+
+
 def test_drafting_again_is_a_duplicate(frame):
     incidents = frame(INCIDENT, incident(1, "A", "OVERHEATING", 50.0))
     asked = frame("incident_id string", ("INC-001",))
