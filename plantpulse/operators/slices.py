@@ -1,7 +1,7 @@
 """Row look-back windows that stay balanced when one key holds much of the data.
 
 A window over a key puts all rows of that key into one task. Keys above
-``hot_rows`` are therefore cut into time slices of about ``slice_rows`` rows,
+``hot_rows`` are therefore cut in time into slices of about ``slice_rows`` rows,
 and each slice is given the last rows before it, so that a frame of
 ``lookback`` preceding rows sees exactly what it would see in one piece.
 """
@@ -10,35 +10,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse.functions import epoch_seconds
 
 HOT_ROWS = 8_000_000
 SLICE_ROWS = 1_000_000
+#: Most keys that are cut, and most slices of one key.
+HOT_KEYS, POINTS = 100_000, 1024
 
 
 def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int) -> DataFrame:
-    """Start and slice width in seconds of every hot key.
-
-    Each such key has more than ``hot_rows`` rows, so there are fewer than
-    (all rows / hot_rows) of them: the frame is small enough to broadcast
-    whatever the data look like.
+    """The times at which the rows of every hot key are cut: ``_cuts``, ascending.
+
+    Cuts are quantiles of the key's own times, so slices hold about equally many
+    rows however these are bunched; only rows of one time stay together. Keys
+    with more than ``hot_rows`` rows are hot, or with more than a
+    ``HOT_KEYS``-th of all rows if that is more: the frame has at most
+    ``HOT_KEYS`` rows whatever the data look like, and is broadcast. Without a
+    hot key the second look at the rows joins nothing and adaptive execution
+    drops it.
     """
-    first, last = epoch_seconds(F.col("_first")), epoch_seconds(F.col("_last"))
-    pieces = F.ceil(F.col("_n") / slice_rows)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    share = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)) / HOT_KEYS).scalar()
+    hot = sizes.where(F.col("_n") > F.greatest(F.lit(float(hot_rows)), share)).select(
+        key, F.least(F.ceil(F.col("_n") / slice_rows), F.lit(POINTS)).cast("int").alias("_pieces")
+    )
+    steps = F.array(*(F.lit(i / POINTS) for i in range(1, POINTS)))
+    chosen = F.transform(
+        F.sequence(F.lit(1), F.col("_pieces") - 1),
+        lambda i: F.element_at("_points", F.greatest(F.lit(1), F.round(i * POINTS / F.col("_pieces"))).cast("int")),
+    )
     return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-        .where(F.col("_n") > hot_rows)
-        .select(
-            key,
-            first.alias("_start"),
-            F.ceil((last - first + 1) / pieces).alias("_width"),
-        )
+        rows.select(key, epoch_seconds(F.col(ts)).alias("_second"))
+        .join(F.broadcast(hot), key)
+        .groupBy(key, "_pieces")
+        .agg(F.percentile_approx("_second", steps, F.lit(20 * POINTS)).alias("_points"))
+        .select(key, F.when(F.col("_pieces") > 1, F.array_distinct(chosen)).otherwise(F.array_repeat(F.element_at("_points", 1), 0)).alias("_cuts"))
     )
 
 
+def slice_of(ts: str) -> Column:
+    """How many cuts are at or before a time, by steps of 32 and then one by one."""
+    second, cuts, step = epoch_seconds(F.col(ts)), F.col("_cuts"), 32
+    marks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / step).cast("int")), lambda j: F.get(cuts, j * step))
+    starts = F.filter(F.when(F.size(cuts) > 0, marks).otherwise(cuts), lambda c: c <= second)
+    fine = F.slice(cuts, (F.size(starts) - 1) * step + 1, step)
+    return F.when(
+        F.size(starts) > 0, (F.size(starts) - 1) * step + F.size(F.filter(fine, lambda c: c <= second))
+    ).otherwise(F.lit(0)).cast("long")
+
+
 def with_lookback(
     rows: DataFrame,
     *,
@@ -57,12 +79,12 @@ def with_lookback(
     (key, _slice) reads them, then the caller drops them.
     """
     spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
-    position = F.floor((epoch_seconds(F.col(ts)) - F.col("_start")) / F.col("_width"))
+    position = slice_of(ts)
 
     marked = (
         rows.join(F.broadcast(spans), key, "left")
-        .withColumn("_slice", F.coalesce(position, F.lit(0)))
-        .drop("_start", "_width")
+        .withColumn("_slice", F.when(F.col("_cuts").isNotNull(), position).otherwise(F.lit(0)))
+        .drop("_cuts")
         .withColumn("_before", F.lit(False))
     )
 
@@ -105,8 +127,9 @@ def with_last_state(
     so a row is never paired with the events of its key. ``events`` has key, ts,
     tie and state; the slices of hot keys start with the state before them.
     """
-    spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
-    position = F.floor((epoch_seconds(F.col(ts)) - F.col("_start")) / F.col("_width"))
+    both = rows.select(key, ts).unionByName(events.select(key, ts))
+    spans = hot_spans(both, key, ts, hot_rows, slice_rows)
+    position = slice_of(ts)
     line = (
         rows.withColumns({state: F.lit(None).cast("string"), "_kind": F.lit(2)})
         .unionByName(
@@ -115,12 +138,12 @@ def with_last_state(
         )
         .join(F.broadcast(spans), key, "left")
     )
-    placed = line.withColumn("_slice", F.coalesce(position, F.lit(0)))
+    placed = line.withColumn("_slice", F.when(F.col("_cuts").isNotNull(), position).otherwise(F.lit(0))).drop("_cuts")
 
     is_event = F.col("_kind") == 1
     ends = (
-        line.select(key, ts, state, "_tie", "_kind", "_start", "_width")
-        .where(F.col("_start").isNotNull())
+        line.select(key, ts, state, "_tie", "_kind", "_cuts")
+        .where(F.col("_cuts").isNotNull())
         .withColumn("_slice", position)
         .groupBy(key, "_slice")
         .agg(F.max(F.when(is_event, F.struct(ts, "_tie", state)))[state].alias("_end"))

@@ -152,3 +152,16 @@ def test_one_shuffle_for_all_history_flags(frame, plan_of):
     assert text.count("Window [lag") == 1
     assert "hashpartitioning(sensor_id" in text and "_slice" in text
     assert "BatchEvalPython" not in text and "CartesianProduct" not in text
+
+
+def test_a_burst_is_cut_by_rows(frame):
+    """Nine tenths of a sensor's rows in one hour: no slice has more than twice its share."""
+    from datetime import timedelta
+
+    rows = [(i, "A-RPM", "A", "RPM", float(i), START + timedelta(seconds=i if i < 900 else 3600 * (i - 890)), "GOOD") for i in range(1000)]
+    marked = with_lookback(
+        frame(READING, *rows), key="sensor_id", ts="reading_timestamp", tie="reading_id",
+        carried=["reading_value"], lookback=20, hot_rows=100, slice_rows=50,
+    )
+    sizes = [r["count"] for r in marked.where("not _before").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and len(sizes) >= 15
