@@ -19,6 +19,10 @@ from plantpulse.operators.durable import durable
 
 #: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
 INFORMATIVE = 4.0
+#: Bytes of a shingle's hash. Two sets of n and m shingles meet by chance with n * m / 2**48.
+BYTES = 6
+#: Bytes of a signature within its bucket; what meets by chance is checked anyway.
+SIGNATURE_BYTES = 5
 #: Sets compared in one task; larger families are compared block by block.
 BLOCK = 512
 
@@ -42,10 +46,23 @@ class WordHashes(dict):
         return made
 
 
+def shortened(values: np.ndarray, width: int) -> bytes:
+    """The upper `width` bytes of 64-bit numbers."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+
+
+def lengthened(data: bytes, width: int) -> np.ndarray:
+    """Numbers of which shortened() gave the upper bytes; the lower ones are zero."""
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, 8 - width :] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
 def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of a text's runs of `words` words, A-Z in lower case.
 
-    With fewer words the whole sequence is the only one; without words there is none.
+    With fewer words the whole sequence is the only one; without words there is
+    none. Hashes have BYTES bytes, in the upper end of 64-bit numbers.
     """
     found = text.encode("utf-8", "replace").lower().split()
     if not found:
@@ -55,7 +72,7 @@ def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
     out = np.full(len(codes) - width + 1, width, dtype=_U)
     for i in range(width):
         out = mixed(out + codes[i : len(codes) - width + 1 + i] * _U(2 * i + 3))
-    return np.unique(out)
+    return np.unique(out & ~_U((1 << 64 - 8 * BYTES) - 1))
 
 
 # --- the domain: shared features and those of one document --------------------
@@ -90,7 +107,7 @@ def _sliced(words: int, buckets: int, slice_chars: int):
             part = slice(cut[b], cut[b + 1])
             if cut[b] < cut[b + 1]:
                 counts = np.bincount(doc[part], minlength=len(sets)).astype("<u4")
-                out.append((b, number, False, _packed(counts), every[part].tobytes()))
+                out.append((b, number, False, _packed(counts), shortened(every[part], BYTES)))
         valid = np.array([i is not None for i in ids], dtype=np.uint8)
         keys = np.array([i if i is not None else 0 for i in ids], dtype="<i8")
         c1 = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype="<u8")
@@ -127,7 +144,7 @@ def _sliced(words: int, buckets: int, slice_chars: int):
 def _held_twice(key, rows):
     """Of the features in a bucket, those in at least two documents; the documents' own rows pass through."""
     docs, counts, hashes = (rows[c].to_pylist() for c in ("docs", "counts", "hashes"))
-    parts_ = [np.frombuffer(h, dtype="<u8") for d, h in zip(docs, hashes) if not d]
+    parts_ = [lengthened(h, BYTES) for d, h in zip(docs, hashes) if not d]
     keep = np.zeros(0, dtype=bool)
     if parts_:
         every = np.concatenate(parts_)
@@ -143,7 +160,7 @@ def _held_twice(key, rows):
             out_counts.append(c)
             out_hashes.append(h)
             continue
-        values, sizes = np.frombuffer(h, dtype="<u8"), _unpacked(c, "<u4")
+        values, sizes = np.frombuffer(h, dtype=np.uint8).reshape(-1, BYTES), _unpacked(c, "<u4")
         mask = keep[at : at + len(values)]
         at += len(values)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -172,9 +189,9 @@ def _gathered(num: int, den: int):
                 continue
             some = _unpacked(c, "<u4").astype(np.int64)
             have += some
-            ends = (8 * np.cumsum(some)).tolist()
+            ends = (BYTES * np.cumsum(some)).tolist()
             for i in np.flatnonzero(some).tolist():
-                shared[i].append(h[ends[i] - 8 * int(some[i]) : ends[i]])
+                shared[i].append(h[ends[i] - BYTES * int(some[i]) : ends[i]])
         may = (sizes > 0) & (den * have >= num * sizes)
         return pa.table({
             "doc_id": pa.array(ids, mask=~valid), "size": pa.array(sizes, pa.int32()),
@@ -272,17 +289,6 @@ def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarra
 _SIGNED = "bucket int, sigs binary, nodes binary"
 
 
-def _upper(sigs: np.ndarray) -> bytes:
-    """The upper five bytes of signatures: within a bucket that is enough, and what meets by chance is checked anyway."""
-    return np.ascontiguousarray(sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def _from_upper(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
     def rows_of(nodes: list[int], sigs: list[np.ndarray]):
         every = np.concatenate(sigs)
@@ -293,7 +299,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(range(buckets), pa.int32()),
-                pa.array([_upper(every[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
+                pa.array([shortened(every[a:b], SIGNATURE_BYTES) for a, b in zip(cut, cut[1:])], pa.binary()),
                 pa.array([_packed(node[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
             ],
             names=["bucket", "sigs", "nodes"],
@@ -303,7 +309,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
         nodes, sigs, size = [], [], 0
         for batch in batches:
             for node, n, shared in zip(*(c.to_pylist() for c in batch.columns)):
-                sigs.append(signatures(np.frombuffer(shared, dtype="<u8"), n, num, den))
+                sigs.append(signatures(lengthened(shared, BYTES), n, num, den))
                 nodes.append(node)
                 size += len(sigs[-1])
                 if size >= at_once:
@@ -317,7 +323,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
 
 def _sharing(key, rows):
     """A forest over the sets that share signatures of a bucket: at most one edge for each set."""
-    sigs = np.concatenate([_from_upper(s) for s in rows["sigs"].to_pylist()])
+    sigs = np.concatenate([lengthened(s, SIGNATURE_BYTES) for s in rows["sigs"].to_pylist()])
     nodes = np.concatenate([_unpacked(n, "<i8") for n in rows["nodes"].to_pylist()])
     order = np.argsort(sigs, kind="stable")
     sigs, nodes = sigs[order], nodes[order]
@@ -366,7 +372,7 @@ def _linked(num: int, den: int):
         out: tuple[list, list, list] = ([], [], [])
         for at, end in zip(cut, cut[1:]):
             some = order[at:end]
-            sets = [np.frombuffer(shared[i], dtype="<u8") for i in some]
+            sets = [lengthened(shared[i], BYTES) for i in some]
             within = block[some] == other[some]
             if within.all():
                 left = right = np.arange(len(some))
@@ -420,7 +426,7 @@ def jaccard_components(
 
     Two documents link if den * intersection >= num * union of their sets of
     `words`-word shingles; the component_id is the smallest doc_id reachable by
-    links. The result is exact (up to 64-bit hashes of shingles):
+    links. The result is exact (up to 48-bit hashes of shingles):
 
     1. The domain is parted into features that one document holds and the rest.
        Features travel as packed blocks, one for a slice of documents and a bucket
