@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from plantpulse.llm.memo import Memo
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -75,12 +77,11 @@ class WordIds:
     """Ids of words seen lately; at most `limit` are kept, then it starts anew."""
 
     def __init__(self, path: str, limit: int = 700_000):
-        self.path, self.limit, self.known = path, limit, {}
+        self.path, self.known = path, Memo(limit)
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         words = set(words)
-        if len(self.known) + len(words) > self.limit:
-            self.known = {}
+        self.known.claim().make_room(len(words))
         new = list(words - self.known.keys())
         self.known.update(zip(new, encode_words(self.path, new)))
         return self.known

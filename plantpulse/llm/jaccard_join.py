@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse.llm.common import parts, ship, text_bytes, unlisted, whole_text
 from plantpulse.llm.graph import components, local_components
+from plantpulse.llm.memo import Memo
 from plantpulse.operators.durable import durable
 
 #: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
@@ -36,16 +37,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
+class WordHashes(Memo):
     """64-bit hashes of words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
+        self.make_room()
         made = self[word] = xxhash.xxh3_64_intdigest(word)
         return made
 
 
+HASHES = WordHashes(150_000)
+
+
 def shortened(values: np.ndarray, width: int) -> bytes:
     """The upper `width` bytes of 64-bit numbers."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
@@ -124,7 +127,7 @@ def _sliced(words: int, buckets: int, slice_chars: int):
         )
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = HASHES.claim()
         number = TaskContext.get().partitionId() << 32
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -420,7 +423,7 @@ def _families(classes: DataFrame, family: DataFrame, tasks: int) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, words: int = 3, num: int = 90, den: int = 100,
-    bucket_bytes: int = 4 << 20, slice_chars: int = 16 << 20,
+    bucket_bytes: int = 4 << 20, slice_chars: int = 8 << 20,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document.
 

@@ -6,12 +6,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.llm.common import ship, whole_text
+from plantpulse.llm.memo import Memo
 
 FEATURES = 1 << 14
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -24,12 +24,11 @@ def _shape(word: str) -> str:
     return _RUNS.sub(lambda m: m[1] if m[1] in "Ul9" else m[0][:3], out)[:12]
 
 
-class WordFeatures(dict):
+class WordFeatures(Memo):
     """Feature numbers of a word: of its letters in lower case, and of its shape."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 400_000:
-            self.clear()
+        self.make_room()
         letters = "".join(_LETTERS.findall(word)).lower()
         made = self[word] = (
             xxhash.xxh3_64_intdigest(letters) % FEATURES, xxhash.xxh3_64_intdigest("shape " + _shape(word)) % FEATURES,
@@ -37,7 +36,7 @@ class WordFeatures(dict):
         return made
 
 
-WORDS = WordFeatures()
+WORDS = WordFeatures(150_000)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +70,12 @@ class GradeModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, texts: list[str]) -> np.ndarray:
+    def tails(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ...: one row for each text."""
+        WORDS.claim()
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            index, value = features(text)
+            index, value = features(text.as_py())
             out[i] = self.weights[index] @ value
         return _sigmoid(out[:, None] - self.thresholds[None, :])
 
@@ -115,6 +115,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
 
 
 def _featured(batches):
+    WORDS.claim()
     for batch in batches:
         made = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -163,10 +164,11 @@ def graded(model: GradeModel | None, text: Column) -> Column:
     if model is None:
         return F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
 
-    @F.pandas_udf(kind)
-    def score(texts: pd.Series) -> pd.DataFrame:
-        tails = model.tails(texts.tolist())
-        return pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_good": tails[:, 0], "p_best": tails[:, -1]})
+    @F.arrow_udf(kind)
+    def score(texts: pa.Array) -> pa.Array:
+        tails = model.tails(texts)
+        columns = [tails.sum(axis=1), tails[:, 0], tails[:, -1]]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["expected_grade", "p_good", "p_best"])
 
     return score(text)
 

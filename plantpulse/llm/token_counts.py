@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.llm.codec import tokenizer
 from plantpulse.llm.common import ship, whole_text
+from plantpulse.llm.memo import Memo
 from plantpulse.operators.durable import durable
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
@@ -34,12 +35,11 @@ class UnitCounts:
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        self.path, self.limit, self.known = path, limit, {}
+        self.path, self.known = path, Memo(limit)
 
     def learn(self, units: set[str]) -> dict[str, int]:
         """Counts of units that follow a space (not part of the key)."""
-        if len(self.known) + len(units) > self.limit:
-            self.known = {}
+        self.known.claim().make_room(len(units))
         new = list(units - self.known.keys())
         for at in range(0, len(new), _CALL):
             some = new[at : at + _CALL]
