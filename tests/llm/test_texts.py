@@ -217,6 +217,15 @@ def test_article_of_a_page():
     assert [t for _, main, t in rows if main] == ["Title & more", "First line", "Second inline x", "3 < 4"]
 
 
+def test_names_tell_noise_from_articles():
+    page = (
+        "<body class='page with-sidebar'><main class='content has-sidebar'><article class='post'><p>kept</p>"
+        "<div class='post-comments'>gone</div><section id=comments>gone</section><article class=comment>gone</article>"
+        "<p hidden>gone</p><p class='lead'>kept too</p><div role=search>gone</div></article></main></body>"
+    )
+    assert [t for _, _, t in extraction.blocks(page)] == ["kept", "kept too"]
+
+
 def test_repeated_branches_go_and_articles_stay(spark):
     shell = "<html><body><div class=top>Same everywhere</div><div class=story><p>Own text {0}</p><p>Shared passage</p><p>More {0}</p></div></body></html>"
     rows = [(i, f"http://a.example/{i}", shell.format(i)) for i in range(12)] + [(99, "http://b.example/", shell.format(99))]
