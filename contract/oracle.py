@@ -752,6 +752,9 @@ Q["draft_rejections"] = """select incident_id, 'DUPLICATE: Active WO exists for
   from asked where incident_id not in (select incident_id from accepted)
   union all select distinct incident_id, 'ERROR: Unknown incident ' || incident_id from work_orders
   where incident_id not in (select incident_id from incidents)"""
+Q["draft_results"] = f"""select incident_id, 'SUCCESS: Work order ' || work_order_id || ' drafted for incident '
+    || incident_id as result from drafts
+  union all select incident_id, reason as result from ({Q["draft_rejections"]})"""
 Q["active_order_duplicates"] = """select incident_id, machine_id, suspected_failure_mode from incidents i
   where exists (select 1 from work_orders w where w.machine_id = i.machine_id
     and w.predicted_failure_mode = i.suspected_failure_mode and w.status in ('DRAFT', 'APPROVED', 'ASSIGNED'))"""

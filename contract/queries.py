@@ -405,6 +405,14 @@ def draft_rejections(p):
     ).rejected
 
 
+@query(shared=True)
+def draft_results(p):
+    """A row for every request: the order drafted, or why there is none."""
+    return work_orders.draft_results(
+        work_orders.draft_work_orders(p.incidents, p.work_orders, _asked(p), as_of=AS_OF)
+    )
+
+
 @query(shared=True)
 def active_order_duplicates(p):
     return work_orders.active_order_duplicates(p.incidents, p.work_orders).select(

@@ -125,6 +125,16 @@ def draft_work_orders(
     )
 
 
+def draft_results(drafts: Drafts) -> DataFrame:
+    """What became of each requested incident: its order's number, or why it has none."""
+    done = drafts.orders.select(
+        "incident_id",
+        F.concat(F.lit("SUCCESS: Work order "), F.col("work_order_id"),
+                 F.lit(" drafted for incident "), F.col("incident_id")).alias("result"),
+    )
+    return done.unionByName(drafts.rejected.select("incident_id", F.col("reason").alias("result")))
+
+
 def _with_order_states(
     incidents: DataFrame | None, orders: DataFrame, states: Column, *, as_of: datetime
 ) -> DataFrame | None:

@@ -51,6 +51,9 @@ def test_drafting(frame):
         "INC-003": "DUPLICATE: Active WO exists for B - MISALIGNMENT",
         "INC-099": "ERROR: Unknown incident INC-099",
     }
+    results = {r.incident_id: r.result for r in W.draft_results(drafts).collect()}
+    assert results["INC-004"] == "SUCCESS: Work order WO-10000 drafted for incident INC-004"
+    assert len(results) == 6 and results["INC-099"].startswith("ERROR")
     states = {r.incident_id: r.status for r in drafts.incidents.collect()}
     assert {i for i, s in states.items() if s == "WORK_ORDER_PENDING"} == {"INC-002", "INC-004", "INC-006"}
 
