@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plantpulse.operators.durable import durable
+
 _SHIPPED = "plantpulse.llm.shipped"
 
 
@@ -51,6 +53,22 @@ def spread(*columns: str | Column, over: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(over)).cast("int")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows on the checkpoint folder, as durable() puts them, without the shuffle files that led there.
+
+    Spark removes an execution's shuffle files at its end if a session setting
+    asks for it; it is set for this one execution only. Later readers use the
+    checkpoint, so nothing needs those files any more.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return durable(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
 def unlisted(docs: DataFrame, ids: DataFrame, key: str = "doc_id", small: int = 1_000_000) -> DataFrame:
     """The rows of docs whose key is not in ids.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.operators.durable import durable
+from plantpulse.llm.common import settled
+
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     and neighbours are joined to them, so a node with very many neighbours is no
     bottleneck. Each round is written to the checkpoint folder. No edges give no rows.
     """
-    now = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -56,6 +57,6 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = durable(small)
+        now = settled(small)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())

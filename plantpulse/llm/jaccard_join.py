@@ -13,10 +13,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plantpulse.llm.common import parts, ship, text_bytes, unlisted, whole_text
+from plantpulse.llm.common import parts, settled, ship, text_bytes, unlisted, whole_text
 from plantpulse.llm.graph import components, local_components
 from plantpulse.llm.memo import Memo
-from plantpulse.operators.durable import durable
 
 #: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
 INFORMATIVE = 4.0
@@ -292,6 +291,18 @@ def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarra
 _SIGNED = "bucket int, sigs binary, nodes binary"
 
 
+def _runs(nodes: np.ndarray) -> bytes:
+    """Nodes in runs: how many runs, the nodes, the lengths."""
+    starts = np.flatnonzero(np.diff(nodes, prepend=nodes[:1] - 1)) if len(nodes) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(nodes))).astype("<u4")
+    return np.int64(len(starts)).tobytes() + nodes[starts].astype("<i8").tobytes() + _packed(lengths)
+
+
+def _from_runs(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    return np.repeat(np.frombuffer(data, "<i8", n, 8), _unpacked(data[8 + 8 * n :], "<u4"))
+
+
 def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
     def rows_of(nodes: list[int], sigs: list[np.ndarray]):
         every = np.concatenate(sigs)
@@ -303,7 +314,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
             [
                 pa.array(range(buckets), pa.int32()),
                 pa.array([shortened(every[a:b], SIGNATURE_BYTES) for a, b in zip(cut, cut[1:])], pa.binary()),
-                pa.array([_packed(node[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
+                pa.array([_runs(node[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
             ],
             names=["bucket", "sigs", "nodes"],
         )
@@ -327,7 +338,7 @@ def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
 def _sharing(key, rows):
     """A forest over the sets that share signatures of a bucket: at most one edge for each set."""
     sigs = np.concatenate([lengthened(s, SIGNATURE_BYTES) for s in rows["sigs"].to_pylist()])
-    nodes = np.concatenate([_unpacked(n, "<i8") for n in rows["nodes"].to_pylist()])
+    nodes = np.concatenate([_from_runs(n) for n in rows["nodes"].to_pylist()])
     order = np.argsort(sigs, kind="stable")
     sigs, nodes = sigs[order], nodes[order]
     same = np.flatnonzero(sigs[1:] == sigs[:-1])
@@ -447,12 +458,12 @@ def jaccard_components(
     ship(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     buckets = parts(text_bytes(chosen), bucket_bytes)
-    sets = durable(
+    sets = settled(
         chosen.mapInArrow(_sliced(words, buckets, slice_chars), _SLICED)
         .groupBy("bucket").applyInArrow(_held_twice, _SHARED)
         .groupBy("slice").applyInArrow(_gathered(num, den), _SETS)
     )
-    classes = durable(
+    classes = settled(
         sets.filter("shared is not null").groupBy("c1", "c2")
         .agg(
             F.first("size").alias("size"), F.min("doc_id").alias("least"),
@@ -463,7 +474,7 @@ def jaccard_components(
     number, held = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     signed = classes.select("node", "size", "shared").mapInArrow(_signed(num, den, max(48, parts(held, 1 << 20))), _SIGNED)
     family = components(signed.groupBy("bucket").applyInArrow(_sharing, "a long, b long"))
-    linked = durable(
+    linked = settled(
         _families(classes.select("node", "size", "copies", "shared"), family, max(97, parts(number, BLOCK)))
         .groupBy("task").applyInArrow(_linked(num, den), _LINKED)
     )
@@ -492,7 +503,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     are one document: where the table has such ids, the least of their rows by size
     and text stays. Documents without an id cannot be told apart and stay.
     """
-    groups = durable(jaccard_components(docs, words, num, den).select("doc_id", "component_id"))
+    groups = settled(jaccard_components(docs, words, num, den).select("doc_id", "component_id"))
     kept = unlisted(docs, groups.filter("component_id < doc_id").select("doc_id").distinct())
     again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():

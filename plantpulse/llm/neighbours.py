@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plantpulse.llm.common import parts, ship
-from plantpulse.operators.durable import durable
+from plantpulse.llm.common import parts, settled, ship
 
 
 @dataclass(frozen=True)
@@ -275,7 +274,7 @@ def nearest_neighbours(
             .select("query_id", "rank", "vec_id", "score")
         )
 
-    first = durable(ranked(index, asked))
+    first = settled(ranked(index, asked))
     few = queries.join(first.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
     if few.isEmpty():
         return first

@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.llm.codec import tokenizer
-from plantpulse.llm.common import ship, whole_text
+from plantpulse.llm.common import settled, ship, whole_text
 from plantpulse.llm.memo import Memo
-from plantpulse.operators.durable import durable
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 _BEFORE_UNIT = re.compile(r"(?<=\S)(?= \S)")
@@ -191,7 +190,7 @@ def _resynchronised(texts: DataFrame, path: str, step: int, overlap: int) -> Dat
     done = []
     while True:
         pieces = texts.mapInArrow(_chunked(step, overlap), _CHUNKS).repartition("key", "chunk")
-        counted = durable(
+        counted = settled(
             pieces.mapInArrow(_encoded(path, step, overlap), _EDGES)
             .groupBy("key").applyInArrow(_spliced, "key string, n_tokens long")
         )
