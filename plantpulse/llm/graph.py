@@ -29,6 +29,17 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after edges (a, b) have joined components; every label is its component's least member."""
+    if not len(a):
+        return label
+    roots, place = np.unique(np.concatenate([label[a], label[b]]), return_inverse=True)
+    joined = local_components(len(roots), place[: len(a)], place[len(a) :])
+    to = np.arange(len(label))
+    to[roots] = roots[joined]
+    return to[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of the edges (a, b) of longs; the label is the component's least node.
 

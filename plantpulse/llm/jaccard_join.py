@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse.llm.common import parts, settled, ship, text_bytes, unlisted, whole_text
-from plantpulse.llm.graph import components, local_components
+from plantpulse.llm.graph import components, local_components, merged
 from plantpulse.llm.memo import Memo
 
 #: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
@@ -265,9 +265,11 @@ def _enumerated(elements: np.ndarray, band: int, made, seed: int) -> tuple[np.nd
     return (mixed(sums @ subsets + place)).ravel(), (counts @ subsets).ravel()
 
 
-def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+def signatures(elements: np.ndarray, size: int, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
     """PartEnum signatures of a set: for its own band, and for the one below as the larger of a pair.
 
+    A band's number, its largest size, and the signatures.
+
     A signature of empty parts says nothing. Sets that agree in it also agree in a
     signature of a second, independent partition, so it is replaced by its pairs
     with all of those.
@@ -279,74 +281,182 @@ def signatures(elements: np.ndarray, size: int, num: int, den: int) -> np.ndarra
         made = scheme(num, den, *table[band])
         sigs, held = _enumerated(elements, band, made, 1)
         empty = sigs[held == 0]
-        out.append(sigs[held > 0])
+        some = [sigs[held > 0]]
         if len(empty):
             # One part more than may differ: the fewest signatures that a second partition can do with.
             plain = (made[0] * (made[2] + 1), 1, 0, np.ones((1, 1), dtype=_U))
             second, _ = _enumerated(elements, band, plain, 2)
-            out.append(mixed(empty[:, None] ^ (second[None, :] * _U(3))).ravel())
-    return np.concatenate(out)
+            some.append(mixed(empty[:, None] ^ (second[None, :] * _U(3))).ravel())
+        out.append((band, table[band][1], np.concatenate(some)))
+    return out
+
 
+_SIGNED = "bucket int, sigs binary, runs binary, docs binary, sketches binary"
 
-_SIGNED = "bucket int, sigs binary, nodes binary"
 
+def sketch_words(high: int) -> int:
+    """64-bit words of a sketch for sets of up to `high` elements: a power of two, a bit or more for each."""
+    return 1 << max(0, (high - 1).bit_length() - 6)
 
-def _runs(nodes: np.ndarray) -> bytes:
-    """Nodes in runs: how many runs, the nodes, the lengths."""
-    starts = np.flatnonzero(np.diff(nodes, prepend=nodes[:1] - 1)) if len(nodes) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(nodes))).astype("<u4")
-    return np.int64(len(starts)).tobytes() + nodes[starts].astype("<i8").tobytes() + _packed(lengths)
 
+def sketch(elements: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the elements that fall on each bit. Sketches of two sets differ in no more bits than the sets in elements."""
+    bits = (mixed(elements ^ _U(0x5851F42D4C957F2D)) & _U(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(bits, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
 
-def _from_runs(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    return np.repeat(np.frombuffer(data, "<i8", n, 8), _unpacked(data[8 + 8 * n :], "<u4"))
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer words: halves laid on each other, as parities of half as many bits."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
 
 
 def _signed(num: int, den: int, buckets: int, at_once: int = 1 << 20):
-    def rows_of(nodes: list[int], sigs: list[np.ndarray]):
+    """Signatures of a slice of sets, dealt into buckets; with each bucket the sketches of its sets."""
+
+    def rows_of(docs: list[tuple], sigs: list[np.ndarray], owner: list[int], bands_: list[int]):
         every = np.concatenate(sigs)
-        node = np.repeat(np.array(nodes, dtype="<i8"), [len(s) for s in sigs])
+        lengths = [len(s) for s in sigs]
+        doc, band = np.repeat(np.array(owner, "<u4"), lengths), np.repeat(np.array(bands_, "<u4"), lengths)
         bucket = (every % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        every, node, cut = every[order], node[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        every, doc, band = every[order], doc[order], band[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for b, (start, end) in enumerate(zip(cut, cut[1:])):
+            if start == end:
+                continue
+            held, local = np.unique(doc[start:end], return_inverse=True)
+            code = local.astype(np.int64) << 16 | band[start:end]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            out[0].append(b)
+            out[1].append(shortened(every[start:end], SIGNATURE_BYTES))
+            out[2].append(_packed(np.stack([code[first], np.diff(np.append(first, end - start))]).astype("<i8")))
+            out[3].append(b"".join(np.array(docs[d][:4], "<i8").tobytes() for d in held.tolist()))
+            out[4].append(b"".join(docs[d][4] for d in held.tolist()))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(buckets), pa.int32()),
-                pa.array([shortened(every[a:b], SIGNATURE_BYTES) for a, b in zip(cut, cut[1:])], pa.binary()),
-                pa.array([_runs(node[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
-            ],
-            names=["bucket", "sigs", "nodes"],
+            [pa.array(v, k) for v, k in zip(out, kinds)], names=["bucket", "sigs", "runs", "docs", "sketches"]
         )
 
     def run(batches):
-        nodes, sigs, size = [], [], 0
+        docs, sigs, owner, bands_, size = [], [], [], [], 0
         for batch in batches:
             for node, n, shared in zip(*(c.to_pylist() for c in batch.columns)):
-                sigs.append(signatures(lengthened(shared, BYTES), n, num, den))
-                nodes.append(node)
-                size += len(sigs[-1])
+                elements = lengthened(shared, BYTES)
+                words = 1
+                for band, high, some in signatures(elements, n, num, den):
+                    sigs.append(some)
+                    owner.append(len(docs))
+                    bands_.append(band)
+                    size += len(some)
+                    words = max(words, sketch_words(high))
+                docs.append((node, n, len(elements), words, sketch(elements, words).tobytes()))
                 if size >= at_once:
-                    yield rows_of(nodes, sigs)
-                    nodes, sigs, size = [], [], 0
-        if nodes:
-            yield rows_of(nodes, sigs)
+                    yield rows_of(docs, sigs, owner, bands_)
+                    docs, sigs, owner, bands_, size = [], [], [], [], 0
+        if docs:
+            yield rows_of(docs, sigs, owner, bands_)
 
     return run
 
 
-def _sharing(key, rows):
-    """A forest over the sets that share signatures of a bucket: at most one edge for each set."""
-    sigs = np.concatenate([lengthened(s, SIGNATURE_BYTES) for s in rows["sigs"].to_pylist()])
-    nodes = np.concatenate([_from_runs(n) for n in rows["nodes"].to_pylist()])
-    order = np.argsort(sigs, kind="stable")
-    sigs, nodes = sigs[order], nodes[order]
-    same = np.flatnonzero(sigs[1:] == sigs[:-1])
-    names, place = np.unique(np.concatenate([nodes[same], nodes[same + 1]]), return_inverse=True)
-    a, b = place[: len(same)], place[len(same) :]
-    label = local_components(len(names), a, b)
-    own = np.flatnonzero(label != np.arange(len(names)))
-    return pa.table({"a": pa.array(names[own], pa.int64()), "b": pa.array(names[label[own]], pa.int64())})
+def near_enough(a: np.ndarray, b: np.ndarray, size: np.ndarray, held: np.ndarray, rows: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets may link, by what is known without their elements.
+
+    Linked sets of sizes x and y differ in at most (den - num) (x + y) / (den + num)
+    elements. Features of one document alone are among these, and sketches of the
+    others differ in no more bits than the sets. So no linked pair is lost.
+    """
+    out = np.zeros(len(a), dtype=bool)
+    step = max(1, (1 << 22) // max(1, rows.shape[1]))
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        total = size[x] + size[y]
+        most = (den - num) * total // (den + num) - (total - held[x] - held[y])
+        apart = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+        out[at : at + step] = (apart <= most) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+    return out
+
+
+def _all_pairs(label: np.ndarray, some: np.ndarray, size, held, sketches: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Labels after all pairs of some sets that may link have been joined, a stretch of rows at a time."""
+    for at in range(0, len(some), 64):
+        rows = np.arange(at, min(at + 64, len(some)))
+        a, b = np.repeat(rows, len(some)), np.tile(np.arange(len(some)), len(rows))
+        open_ = (a < b) & (label[some[a]] != label[some[b]])
+        a, b = a[open_], b[open_]
+        ok = near_enough(a, b, size[some], held[some], sketches, num, den)
+        label = merged(label, some[a[ok]], some[b[ok]])
+    return label
+
+
+def _sharing(num: int, den: int):
+    """A forest over the sets that share a signature of a bucket and may link: at most one edge for each set.
+
+    Members of a signature that are not yet in one tree are compared at growing
+    steps of their order, so every pair that could join two trees is looked at and
+    none that could not; the pairs stay in the task.
+    """
+
+    def run(key, rows):
+        docs = [np.frombuffer(d, "<i8").reshape(-1, 4) for d in rows["docs"].to_pylist()]
+        info = np.concatenate(docs)
+        node, size, held, words = info.T
+        starts = np.concatenate([[0], np.cumsum(words)])
+        bits = np.frombuffer(b"".join(rows["sketches"].to_pylist()), "<u8")
+        sigs = np.concatenate([lengthened(x, SIGNATURE_BYTES) for x in rows["sigs"].to_pylist()])
+        owner, band, first = [], [], 0
+        for runs, some in zip(rows["runs"].to_pylist(), docs):
+            code, lengths = _unpacked(runs, "<i8").reshape(2, -1)
+            owner.append(np.repeat((code >> 16) + first, lengths))
+            band.append(np.repeat(code & 0xFFFF, lengths))
+            first += len(some)
+        owner, band = np.concatenate(owner), np.concatenate(band)
+        order = np.lexsort((owner, sigs, band))
+        owner, sigs, band = owner[order], sigs[order], band[order]
+        # Only signatures of two sets or more.
+        new = np.diff(sigs, prepend=sigs[:1] + _U(1)).astype(bool) | (np.diff(band, prepend=band[:1] - 1) != 0)
+        group = np.cumsum(new) - 1
+        counts = np.bincount(group)
+        keep = counts[group] > 1
+        owner, group, band = owner[keep], group[keep], band[keep]
+        label = np.arange(len(node))
+        table = bands(num, den, max(64, 1 << int(size.max()).bit_length()))
+        cut = np.flatnonzero(np.diff(band, prepend=-1)).tolist() + [len(band)]
+        for at, end in zip(cut, cut[1:]):
+            members, groups = owner[at:end], group[at:end]
+            width = sketch_words(table[int(band[at])][1])
+            some, place = np.unique(members, return_inverse=True)
+            sketches = np.stack([folded(bits[starts[d] : starts[d + 1]], width) for d in some.tolist()])
+            step = 1
+            while len(members) > step:
+                # Few sets in many large signatures: every pair of the sets once is less work.
+                every = np.unique(place)
+                if len(every) ** 2 * max(1, width // 4) < (np.bincount(groups).astype(float) ** 2).sum():
+                    label = _all_pairs(label, some[every], size, held, sketches[every], num, den)
+                    break
+                a, b = place[:-step], place[step:]
+                open_ = (groups[:-step] == groups[step:]) & (label[members[:-step]] != label[members[step:]])
+                if open_.any():
+                    pairs = np.unique(a[open_].astype(np.int64) * len(some) + b[open_])
+                    a, b = pairs // len(some), pairs % len(some)
+                    ok = near_enough(a, b, size[some], held[some], sketches, num, den)
+                    label = merged(label, some[a[ok]], some[b[ok]])
+                # Go on with the signatures whose members are in several trees and reach further than this step.
+                low, high = np.full(int(groups[-1]) + 1, len(node)), np.full(int(groups[-1]) + 1, -1)
+                np.minimum.at(low, groups, label[members])
+                np.maximum.at(high, groups, label[members])
+                going = (low != high)[groups] & (np.bincount(groups)[groups] > step + 1)
+                members, groups, place = members[going], groups[going], place[going]
+                step += 1
+        own = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[own], pa.int64()), "b": pa.array(node[label[own]], pa.int64())})
+
+    return run
 
 
 # --- exact check --------------------------------------------------------------
@@ -446,7 +556,8 @@ def jaccard_components(
        Features travel as packed blocks, one for a slice of documents and a bucket
        of hashes. Only sets of which `num`/`den` are shared features can link.
     2. Equal sets become one class. Classes get PartEnum signatures; those that
-       share one are joined into families by a forest, never by pairs.
+       share one, and may link by their sizes and sketches, are joined into families
+       by a forest, never by pairs.
     3. Links within a family are computed exactly, in tasks of at most two blocks
        of 512 sets each, and only a forest of them and counts leave a task.
 
@@ -473,7 +584,7 @@ def jaccard_components(
     )
     number, held = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     signed = classes.select("node", "size", "shared").mapInArrow(_signed(num, den, max(48, parts(held, 1 << 20))), _SIGNED)
-    family = components(signed.groupBy("bucket").applyInArrow(_sharing, "a long, b long"))
+    family = components(signed.groupBy("bucket").applyInArrow(_sharing(num, den), "a long, b long"))
     linked = settled(
         _families(classes.select("node", "size", "copies", "shared"), family, max(97, parts(number, BLOCK)))
         .groupBy("task").applyInArrow(_linked(num, den), _LINKED)

@@ -107,7 +107,26 @@ def test_similar_sets_share_a_signature(num, den):
             if e is None:
                 continue
             b = np.concatenate([a[d:], draw.integers(0, 2**63, size=e, dtype=np.uint64)])
-            assert set(signatures(a, len(a), num, den)) & set(signatures(b, len(b), num, den)), (size, d, e)
+            found = [{(band, s) for band, _, some in signatures(x, len(x), num, den) for s in some.tolist()} for x in (a, b)]
+            assert found[0] & found[1], (size, d, e)
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_sketches_lose_no_linked_pair(num, den):
+    draw = np.random.default_rng(3)
+    for size in (1, 5, 10, 30, 64, 65, 200, 700):
+        a = draw.integers(0, 2**63, size=size, dtype=np.uint64)
+        for words in (1, 4, 16):
+            for drop in range(0, size, max(1, size // 10)):
+                for add in (0, size // 12, size // 5):
+                    b = np.concatenate([a[drop:], draw.integers(0, 2**63, size=add, dtype=np.uint64)])
+                    if not len(b):
+                        continue
+                    rows = np.stack([jaccard_join.folded(jaccard_join.sketch(x, 32), words) for x in (a, b)])
+                    assert (rows == np.stack([jaccard_join.sketch(x, words) for x in (a, b)])).all()
+                    sizes = np.array([len(a), len(b)])
+                    ok = jaccard_join.near_enough(np.array([0]), np.array([1]), sizes, sizes, rows, num, den)[0]
+                    assert ok or den * (size - drop) < num * (size + add)
 
 
 def test_bands_and_schemes_hold_their_promise():
