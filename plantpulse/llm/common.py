@@ -19,9 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch between the JVM and Python; whole texts make batches of the default 10 000 rows too large.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per session, through Spark's own file server."""
-    context = spark.sparkContext
+    """Make a session ready for Python on the executors.
+
+    The package's code goes to them once, through Spark's own file server, and
+    Arrow batches are held to BATCH_ROWS rows (a smaller setting is left alone).
+    """
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(context, "_plantpulse_shipped", None) == _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
