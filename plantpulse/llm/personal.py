@@ -7,6 +7,7 @@ counts of a fixed size comes to the driver, where the trees are grown.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -35,8 +36,10 @@ WIDE = {
 NEEDS = {"email": r"@|[(\[\x20]at[)\]\x20]", "ip": r"[0-9]\.|\[\.\]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"[0-9]{2}"}
 CUES = r"(?i)(?:e-?mail|contact|mail|tel|phone|call|fax|mobile|card|visa|account|ip|host|server|address)[^A-Za-z0-9]*$"
 CONTEXT = 24
+#: A date at the beginning of a candidate for a card.
+DATED = r"^(?:19|20)[0-9]{2}[\x20._/-]{0,2}(?:0[1-9]|1[0-2])[\x20._/-]{0,2}(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 #: Numbers of values of the features, which bound the table the trees are grown from.
-LEVELS = {"kind": 4, "digits": 7, "groups": 4, "before": 4, "after": 4, "cue": 2, "length": 5}
+LEVELS = {"kind": 4, "digits": 7, "groups": 4, "before": 4, "after": 4, "cue": 2, "length": 5, "sound": 2}
 
 
 def running(lengths: Column) -> Column:
@@ -155,9 +158,16 @@ def traits(kind: str, c: Column) -> dict[str, Column]:
         "after": _side(c["after"]),
         "cue": c["before"].rlike(CUES).cast("int"),
         "length": _band(F.length(found), 8, 12, 16, 24),
+        "sound": c["sound"].cast("int"),
     }
 
 
+def refuted(kind: str, c: Column) -> Column:
+    """Whether its surroundings, or a date in front, tell that a candidate is part of something else."""
+    within = (_side(F.right(c["before"], F.lit(1))) == 2) | (_side(c["after"]) == 2)
+    return within | c["found"].rlike(DATED) if kind == "card" else within
+
+
 # --- boosted trees --------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -216,11 +226,15 @@ def _grow(rows: list[tuple[dict, float, float]], depth: int, ridge: float = 1.0)
     return Tree(feature=at[0], limit=at[1], low=_grow(low, depth - 1, ridge), high=_grow(high, depth - 1, ridge))
 
 
-def boost(table: list[tuple[dict[str, int], int, int]], rounds: int = 20, depth: int = 3, rate: float = 0.4, precision: float = 0.95) -> SpanModel:
+def boost(
+    table: list[tuple[dict[str, int], int, int]], rounds: int = 20, depth: int = 3, rate: float = 0.4, precision: float = 0.95,
+    applied: Callable[[dict[str, int]], bool] = lambda row: True,
+) -> SpanModel:
     """Gradient boosting on counts: rows of traits, how many with them are personal data, and how many are not.
 
-    A kind's threshold is the least score from which on its known candidates are
-    personal data in `precision` of cases (smoothed); without such a score the kind gets none.
+    A kind's threshold is the least score from which on its known candidates, of
+    those that the threshold is `applied` to, are personal data in `precision` of
+    cases (smoothed); without such a score the kind gets none.
     """
     if not table:
         return SpanModel()
@@ -236,7 +250,7 @@ def boost(table: list[tuple[dict[str, int], int, int]], rounds: int = 20, depth:
         scores = [s + trees[-1].score(row) for (row, _, _), s in zip(table, scores)]
     thresholds = {}
     for i, kind in enumerate(KINDS):
-        ranked = sorted(((s, yes, no) for (row, yes, no), s in zip(table, scores) if row["kind"] == i), reverse=True)
+        ranked = sorted(((s, yes, no) for (row, yes, no), s in zip(table, scores) if row["kind"] == i and applied(row)), reverse=True)
         good = bad = 0
         for s, yes, no in ranked:
             good, bad = good + yes, bad + no
@@ -262,19 +276,23 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> SpanModel:
     """A model from all documents: candidates of the base patterns, personal data if they pass the check of their kind.
 
-    Only counts by traits come to the driver: at most the product of LEVELS rows,
-    whatever the size of the data. The generators' further candidates are unlabelled
-    and take no part in training.
+    Not so if they are refuted by where they stand. Of the generators' further
+    candidates, those that pass and are refuted are counted as no personal data; the
+    others are unlabelled and take no part. Thresholds are calibrated on what passes
+    the check, as only that is offered. Only counts by traits come to the driver: at
+    most the product of LEVELS rows, whatever the size of the data.
     """
     named = docs.select(whole_text().alias("_text")).filter(F.col("_text").rlike("[0-9]|@"))
-    for kind in KINDS:
-        named = _located(named, kind, BASE[kind], f"base_{kind}")
+    named = with_candidates(named)
 
     def described(kind: str) -> Column:
-        return F.transform(
-            f"base_{kind}",
-            lambda c: F.struct(*(v.cast("int").alias(n) for n, v in traits(kind, c).items()), c["sound"].alias("yes")),
-        )
+        def counted(c, yes):
+            return F.struct(*(v.cast("int").alias(n) for n, v in traits(kind, c).items()), yes.alias("yes"))
+
+        base = F.transform(f"base_{kind}", lambda c: counted(c, c["sound"] & ~refuted(kind, c)))
+        apart = lambda c: ~F.exists(f"base_{kind}", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        wide = F.filter(f"wide_{kind}", lambda c: c["sound"] & refuted(kind, c) & apart(c))
+        return F.concat(base, F.transform(wide, lambda c: counted(c, F.lit(False))))
 
     every = F.concat(*map(described, KINDS))
     counts = (
@@ -282,7 +300,7 @@ def train(docs: DataFrame) -> SpanModel:
         .agg(F.sum(F.col("c.yes").cast("long")).alias("yes"), F.count("*").alias("all")).collect()
     )
     rows = [({n: r[n] for n in LEVELS}, r.yes, r["all"] - r.yes) for r in counts]
-    return boost(sorted(rows, key=lambda r: tuple(r[0].values())))
+    return boost(sorted(rows, key=lambda r: tuple(r[0].values())), applied=lambda row: row["sound"] == 1)
 
 
 def _listed(spans: Column) -> Column:
