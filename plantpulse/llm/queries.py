@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.llm import (
-    extraction, fingerprints, jaccard_join, licences, neighbours, packing, personal, quality,
+    extraction, fingerprints, jaccard_join, licences, manifest, neighbours, packing, personal, quality,
     token_counts, word_table,
 )
 from plantpulse.llm.common import table
@@ -83,3 +83,12 @@ def op4_neighbours(spark, sf_dir):
 def op3_personal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return personal.personal_data(docs, personal.train(docs))
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return manifest.proofs(docs, manifest.every_fifth(docs["doc_id"]))
+
+
+ORACLE["op13_manifest"] = manifest.oracle()
