@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.llm import (
-    extraction, fingerprints, jaccard_join, licences, manifest, neighbours, packing, personal, quality,
-    token_counts, word_table,
+    alignment, extraction, fingerprints, jaccard_join, languages, licences, manifest, neighbours, packing,
+    personal, quality, token_counts, word_table,
 )
 from plantpulse.llm.common import table
 
@@ -92,3 +92,16 @@ def op13_manifest(spark, sf_dir):
 
 
 ORACLE["op13_manifest"] = manifest.oracle()
+
+
+@query
+def op12_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return languages.languages(docs, languages.train(docs))
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    return alignment.alignments(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
