@@ -58,18 +58,17 @@ def fleet_health(
         F.count_if(score < rules.AT_RISK_BELOW).alias("_at_risk"),
         F.min(F.struct(score.alias("score"), F.col("signal_type").alias("signal"))).alias("_worst"),
     )
-    rows = (
-        machines.select("machine_id", "machine_name", "machine_type", "line", "criticality")
-        .join(
-            context.select("machine_id", "current_state", "load_pct", "suppress_signals"),
-            "machine_id", "left",
-        )
-        .join(per_machine, "machine_id", "left")
+    named = machines.select("machine_id", "machine_name", "machine_type", "line", "criticality")
+    # Ranked before the context is joined, which so is read once.
+    ranked = rank_ascending(named.join(per_machine, "machine_id", "left"), "_mean", "concern_rank")
+    rows = ranked.join(
+        context.select("machine_id", "current_state", "load_pct", "suppress_signals"),
+        "machine_id", "left",
     )
     status = level(F.col("_mean"), rules.HEALTH_BANDS, rules.HEALTH_FLOOR)
     if name_unknown:
         status = F.when(F.col("_mean").isNull(), F.lit("UNKNOWN")).otherwise(status)
-    return rank_ascending(rows, "_mean", "concern_rank").select(
+    return rows.select(
         "machine_id", "machine_name", "machine_type", "line", "criticality",
         "current_state", "load_pct", "suppress_signals",
         half_up(F.col("_mean"), 1).alias("health_score"),

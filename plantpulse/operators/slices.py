@@ -16,48 +16,54 @@ from plantpulse.functions import epoch_seconds
 
 HOT_ROWS = 8_000_000
 SLICE_ROWS = 1_000_000
-#: Most keys that are cut, and most slices of one key.
-HOT_KEYS, POINTS = 100_000, 1024
+#: Most keys that are cut, and most cuts of all keys together: what is broadcast has a bound at any size.
+HOT_KEYS, CUTS = 100_000, 4_000_000
 
 
-def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int) -> DataFrame:
-    """The times at which the rows of every hot key are cut: ``_cuts``, ascending.
+def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int) -> DataFrame | None:
+    """The times at which the rows of every hot key are cut: ``_cuts``, ascending; None if no key is hot.
 
-    Cuts are quantiles of the key's own times, so slices hold about equally many
-    rows however these are bunched; only rows of one time stay together. Keys
-    with more than ``hot_rows`` rows are hot, or with more than a
-    ``HOT_KEYS``-th of all rows if that is more: the frame has at most
-    ``HOT_KEYS`` rows whatever the data look like, and is broadcast. Without a
-    hot key the second look at the rows joins nothing and adaptive execution
-    drops it.
+    One pass counts the rows of every key, before anything else is planned, and
+    in the normal case that is all. Keys with more than ``hot_rows`` rows are hot,
+    or with more than a ``HOT_KEYS``-th of all rows if that is more. Their rows
+    are counted by hour, and hours that hold more than a slice by second; a cut
+    is made wherever the running count passes a multiple of ``slice_rows`` (or of
+    a ``CUTS``-th of all rows if that is more). A slice so holds at most twice as
+    many rows, however bunched they are; only rows of one second stay together.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    share = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)) / HOT_KEYS).scalar()
-    hot = sizes.where(F.col("_n") > F.greatest(F.lit(float(hot_rows)), share)).select(
-        key, F.least(F.ceil(F.col("_n") / slice_rows), F.lit(POINTS)).cast("int").alias("_pieces")
-    )
-    steps = F.array(*(F.lit(i / POINTS) for i in range(1, POINTS)))
-    chosen = F.transform(
-        F.sequence(F.lit(1), F.col("_pieces") - 1),
-        lambda i: F.element_at("_points", F.greatest(F.lit(1), F.round(i * POINTS / F.col("_pieces"))).cast("int")),
-    )
-    return (
-        rows.select(key, epoch_seconds(F.col(ts)).alias("_second"))
-        .join(F.broadcast(hot), key)
-        .groupBy(key, "_pieces")
-        .agg(F.percentile_approx("_second", steps, F.lit(20 * POINTS)).alias("_points"))
-        .select(key, F.when(F.col("_pieces") > 1, F.array_distinct(chosen)).otherwise(F.array_repeat(F.element_at("_points", 1), 0)).alias("_cuts"))
+    most, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    limit = max(hot_rows, (total or 0) / HOT_KEYS)
+    if (most or 0) <= limit:
+        return None
+    each = max(slice_rows, (total + CUTS - 1) // CUTS)
+    hot = rows.join(F.broadcast(sizes.where(F.col("_n") > limit).select(key)), key)
+    second = epoch_seconds(F.col(ts))
+    hours = hot.groupBy(key, F.floor(second / 3600).alias("_hour")).agg(F.count("*").alias("_n"))
+    # An hour that holds more than a slice: fewer of them than cuts.
+    full = F.broadcast(hours.where(F.col("_n") > each).select(key, "_hour"))
+    seconds = (
+        hot.select(key, second.alias("_from"), F.floor(second / 3600).alias("_hour"))
+        .join(full, [key, "_hour"], "left_semi").groupBy(key, "_from").agg(F.count("*").alias("_n"))
     )
+    counted = hours.where(F.col("_n") <= each).select(key, (F.col("_hour") * 3600).alias("_from"), "_n").unionByName(seconds)
+    by_time = Window.partitionBy(key).orderBy("_from")
+    before = F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    slices = counted.withColumn("_slice", F.floor(before / each))
+    starts = slices.withColumn("_starts", F.col("_slice") > F.coalesce(F.lag("_slice").over(by_time), F.lit(0)))
+    return starts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_starts"), F.col("_from")))).alias("_cuts"))
 
 
 def slice_of(ts: str) -> Column:
-    """How many cuts are at or before a time, by steps of 32 and then one by one."""
-    second, cuts, step = epoch_seconds(F.col(ts)), F.col("_cuts"), 32
+    """How many cuts are at or before a time, found in steps of about the root of their number."""
+    second, cuts = epoch_seconds(F.col(ts)), F.col("_cuts")
+    step = F.ceil(F.sqrt(F.size(cuts))).cast("int")
     marks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / step).cast("int")), lambda j: F.get(cuts, j * step))
-    starts = F.filter(F.when(F.size(cuts) > 0, marks).otherwise(cuts), lambda c: c <= second)
-    fine = F.slice(cuts, (F.size(starts) - 1) * step + 1, step)
+    starts = F.size(F.filter(marks, lambda c: c <= second))
+    fine = F.slice(cuts, (starts - 1) * step + 1, step)
     return F.when(
-        F.size(starts) > 0, (F.size(starts) - 1) * step + F.size(F.filter(fine, lambda c: c <= second))
+        (F.size(cuts) > 0) & (F.get(cuts, F.lit(0)) <= second),
+        (starts - 1) * step + F.size(F.filter(fine, lambda c: c <= second)),
     ).otherwise(F.lit(0)).cast("long")
 
 
@@ -79,6 +85,8 @@ def with_lookback(
     (key, _slice) reads them, then the caller drops them.
     """
     spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
+    if spans is None:
+        return rows.withColumns({"_slice": F.lit(0).cast("long"), "_before": F.lit(False)})
     position = slice_of(ts)
 
     marked = (
@@ -88,7 +96,6 @@ def with_lookback(
         .withColumn("_before", F.lit(False))
     )
 
-    # With no hot key the join below is empty and adaptive execution drops this branch.
     inner = [ts, tie, *[c for c in carried if c not in (ts, tie)]]
     newest_first = Window.partitionBy(key, "_slice").orderBy(F.desc(ts), F.desc(tie))
     tails = (
@@ -129,15 +136,26 @@ def with_last_state(
     """
     both = rows.select(key, ts).unionByName(events.select(key, ts))
     spans = hot_spans(both, key, ts, hot_rows, slice_rows)
-    position = slice_of(ts)
-    line = (
-        rows.withColumns({state: F.lit(None).cast("string"), "_kind": F.lit(2)})
-        .unionByName(
-            events.select(key, ts, state, F.col(tie).alias("_tie"), F.lit(1).alias("_kind")),
-            allowMissingColumns=True,
-        )
-        .join(F.broadcast(spans), key, "left")
+    line = rows.withColumns({state: F.lit(None).cast("string"), "_kind": F.lit(2)}).unionByName(
+        events.select(key, ts, state, F.col(tie).alias("_tie"), F.lit(1).alias("_kind")),
+        allowMissingColumns=True,
+    )
+    so_far = (
+        Window.partitionBy(key, "_slice")
+        .orderBy(F.asc_nulls_first(ts), "_kind", "_tie")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
+
+    def carried(placed: DataFrame) -> DataFrame:
+        return (
+            placed.withColumn(state, F.last(state, ignorenulls=True).over(so_far))
+            .where(F.col("_kind") == 2)
+            .select(*rows.columns, state)
+        )
+
+    if spans is None:
+        return carried(line.withColumn("_slice", F.lit(0).cast("long")))
+    line, position = line.join(F.broadcast(spans), key, "left"), slice_of(ts)
     placed = line.withColumn("_slice", F.when(F.col("_cuts").isNotNull(), position).otherwise(F.lit(0))).drop("_cuts")
 
     is_event = F.col("_kind") == 1
@@ -156,14 +174,4 @@ def with_last_state(
         F.lit(0).alias("_kind"),
     ).where(F.col(state).isNotNull())
 
-    so_far = (
-        Window.partitionBy(key, "_slice")
-        .orderBy(F.asc_nulls_first(ts), "_kind", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        placed.unionByName(starts, allowMissingColumns=True)
-        .withColumn(state, F.last(state, ignorenulls=True).over(so_far))
-        .where(F.col("_kind") == 2)
-        .select(*rows.columns, state)
-    )
+    return carried(placed.unionByName(starts, allowMissingColumns=True))
