@@ -707,6 +707,14 @@ _wide = ", ".join(
 )
 Q["signal_correlation"] = f"""select machine_id, {_pairs}
   from (select machine_id, hour_bucket, {_wide} from hourly group by 1, 2) group by 1"""
+_both = " union all ".join(
+    f"select machine_id, '{a}' as signal_a, '{b}' as signal_b, "
+    f"{r(f"nullif(corr({a.lower()}, {b.lower()}), 'nan'::double)", 6)} as correlation, "
+    f"count(*) filter ({a.lower()} is not null and {b.lower()} is not null) as hours from wide group by 1"
+    for i, a in enumerate(rules.SIGNALS) for b in rules.SIGNALS[i + 1:]
+)
+S["wide"] = f"select machine_id, hour_bucket, {_wide} from hourly group by 1, 2"
+Q["signal_correlations"] = _both
 Q["anomaly_score"] = "select machine_id, signal_type, hour_bucket, anomaly_score from scored"
 Q["anomaly_groups"] = """select machine_id, group_no, min(detection_timestamp) as group_start,
   max(detection_timestamp) as group_end, count(*) as anomaly_count, max(anomaly_score) as max_score,
@@ -857,6 +865,26 @@ Q["similar_cases"] = """select * from (select i.incident_id, h.maintenance_id, h
       order by completed_at desc nulls first, maintenance_id desc) as case_rank
   from incidents i join history h on h.machine_id = i.machine_id or h.failure_mode = i.suspected_failure_mode)
   where case_rank <= 10"""
+S["cases"] = """
+select maintenance_id, completed_at, list_sort(list_distinct(regexp_extract_all(
+    lower(concat_ws(' ', failure_mode, root_cause, action_taken, parts_replaced)), '[a-z0-9]+'))) as words from history"""
+S["kinds"] = "select words, row_number() over () as kind, count(*) as members from cases group by words"
+S["kind_newest"] = """
+select kind, maintenance_id, completed_at from cases join kinds using (words)
+qualify row_number() over (partition by kind order by completed_at desc nulls first, maintenance_id desc) <= 11"""
+S["alike"] = """
+select a.kind as asking, b.kind as other, len(list_intersect(a.words, b.words)) as common,
+  len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)) as united
+from kinds a, kinds b where len(list_intersect(a.words, b.words)) * 10
+  >= (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) * 7"""
+S["best_cases"] = """
+select asking, maintenance_id as similar_id, completed_at, common / united as similarity
+from alike join kind_newest on kind = other
+qualify row_number() over (partition by asking order by common / united desc, completed_at desc nulls first, similar_id desc) <= 11"""
+Q["similar_repairs"] = """select maintenance_id, row_number() over (partition by maintenance_id
+      order by similarity desc, b.completed_at desc nulls first, similar_id desc) as case_rank, similar_id, similarity
+  from cases join kinds using (words) join best_cases b on asking = kind and similar_id <> maintenance_id
+  qualify case_rank <= 10"""
 Q["grounding_context"] = """select i.incident_id, i.machine_id, 'Machine: ' || i.machine_id || ' (' || machine_name
     || '). Predicted failure: ' || suspected_failure_mode || '. Evidence: ' || evidence_narrative
     || ' Maintenance history: ' || coalesce(past, 'No prior maintenance records.') || '.' as context
@@ -888,14 +916,12 @@ Q["sensor_freshness"] = f"""select machine_id, signal_type, max(reading_timestam
   {r("count(*) filter (quality_flag <> 'GOOD') / count(*)::double * 100", 2)} as bad_quality_pct,
   date_diff('minute', max(reading_timestamp), {NOW}) as minutes_since_last
   from clean where {since('reading_timestamp', '1 day')} group by 1, 2"""
-Q["pipeline_status"] = f"""select layer, dataset, arg_max(state, refreshed_at) as last_refresh_state,
-  max(refreshed_at) as last_refresh, max(latest_data) as latest_data, 3600::bigint as target_lag_sec,
-  count(*) as refreshes, date_diff('minute', max(latest_data), {NOW}) as minutes_behind,
-  date_diff('minute', max(latest_data), {NOW}) * 60 <= 3600 as within_target
-  from (select 'STAGING' as layer, signal_type as dataset,
-          date_trunc('hour', reading_timestamp) as refreshed_at, max(reading_timestamp) as latest_data,
-          if(count(*) filter (quality_flag <> 'GOOD') > 0, 'PARTIAL', 'SUCCEEDED') as state
-        from readings group by 1, 2, 3) group by 1, 2"""
+Q["pipeline_status"] = f"""select 'STAGING' as layer, dataset, 'SUCCEEDED' as last_refresh_state,
+  {NOW} + interval 15 minutes as last_refresh, latest_data, 3600::bigint as target_lag_sec, 4::bigint as refreshes,
+  date_diff('minute', latest_data, {NOW}) as minutes_behind,
+  date_diff('minute', latest_data, {NOW}) * 60 <= 3600 as within_target
+  from (select 'clean' as dataset, max(reading_timestamp) as latest_data from readings
+        union all select 'hourly', max(hour_bucket) from hourly)"""
 Q["model_versions"] = """select model_version as version, 'FAILURE_FORECAST' as model_type,
   count(*) as predictions from forecasts group by 1
   union all select model_id, 'ANOMALY_DETECTION', count(*) from anomalies group by 1"""
@@ -1021,6 +1047,72 @@ Q["stream_decisions"] = Q["approval_results"]
 Q["stream_orders"] = Q["apply_approvals"]
 
 
+Q["stream_refreshed_hourly"] = "select * from hourly"
+_wave = "cast(substr(reference_id, 5) as integer) % 3"
+Q["stream_cycle"] = f"""select *, {NOW} + to_minutes(5 * ({_wave})) as sent_at, 'SENT' as status from notices"""
+Q["stream_cycle_log"] = f"""select 'cycle-' || lpad(cast(w as varchar), 8, '0') as cycle_id,
+  {NOW} + to_minutes(cast(5 * w as integer)) as as_of, new_incidents, notifications,
+  'Maintenance cycle complete. Incidents: ' || cast(new_incidents as varchar) || ' new. Notifications: '
+    || cast(notifications as varchar) as message
+  from (select w, (select count(*) from incidents where cast(substr(incident_id, 5) as integer) % 3 <= w) as new_incidents,
+          (select count(*) from notices where {_wave} = w) as notifications from range(3) t(w))"""
+
+# --- the life of incidents: one step for each command, in order ---------------
+
+S["life_commands"] = f"""
+select o_orderkey as command_seq, {incident_id('((o_orderkey // 3) % 40 + 1)')} as incident_id,
+  {pick(('ACKNOWLEDGE', 'ASSIGN', 'SNOOZE', 'REQUEST_ORDER', 'ESCALATE', 'RESOLVE', 'FALSE_POSITIVE', 'REOPEN', 'DANCE'), '(o_orderkey * 7 + o_custkey) % 9')} as action,
+  timestamp '2024-01-23 00:00:00' + to_seconds((o_orderkey * 37) % 691200) as given_at,
+  'TECH-' || cast(o_custkey % 6 as varchar) as owner, 'Reason ' || cast(o_orderkey % 8 as varchar) as reason,
+  (o_orderkey % 5) * 24 as snooze_hours
+from orders"""
+_moves = ", ".join(
+    f"('{action}', '{before}', '{after}')" for action, steps_ in rules.INCIDENT_MOVES.items() for before, after in steps_.items()
+)
+S["moves"] = f"select * from (values {_moves}) m(action, state_before, state_after)"
+S["queue"] = """
+select c.*, row_number() over (partition by incident_id order by command_seq) as turn
+from life_commands c where incident_id in (select incident_id from incidents)"""
+S["life_steps"] = """
+with recursive walk as (
+  select incident_id, 0::bigint as turn, null::varchar as was, status as state, null::boolean as accepted from incidents
+  union all
+  select w.incident_id, w.turn + 1, w.state, coalesce(m.state_after, w.state), m.state_after is not null
+  from walk w join queue q on q.incident_id = w.incident_id and q.turn = w.turn + 1
+  left join moves m on m.action = q.action and m.state_before = w.state)
+select * from walk"""
+S["lived"] = "select q.*, was, state, accepted from life_steps join queue q using (incident_id, turn)"
+Q["lifecycle_results"] = """select c.command_seq, c.incident_id, c.action, coalesce(accepted, false) as accepted,
+  case when l.incident_id is null then 'ERROR: Unknown incident ' || c.incident_id
+    when c.action not in (select action from moves) then 'ERROR: Unknown action ' || c.action
+    when not accepted then 'ERROR: ' || c.action || ' not allowed for ' || c.incident_id || ' in ' || was
+    else 'OK: ' || c.incident_id || ' ' || was || ' -> ' || state end as result
+  from life_commands c left join lived l using (command_seq)"""
+
+
+def latest_given(action, value):
+    return f"arg_max({value}, command_seq) filter (action = '{action}')"
+
+
+Q["incident_lifecycle"] = f"""select incident_id, machine_id, severity, state as status, owner, acknowledged_at,
+  if(snoozed, snooze_reason, null) as snooze_reason, if(snoozed, until, null) as snoozed_until,
+  case when state in {inside(rules.CLOSED_INCIDENT_STATES)} then null when escalated then 'ESCALATED'
+    when not snoozed and date_diff('second', incident_start, {NOW}) > 3600 *
+      case severity when 'CRITICAL' then 24 when 'HIGH' then 160 when 'MEDIUM' then 168 end then 'OVERDUE' end as escalation_status,
+  if(state = 'RESOLVED', resolved, null) as resolution_reason,
+  if(state = 'FALSE_POSITIVE', dismissed, null) as false_positive_reason, updated_at
+  from (select i.incident_id, machine_id, severity, incident_start, f.state, g.owner, g.acknowledged_at, g.snooze_reason,
+          until, coalesce(escalated, false) as escalated, resolved, dismissed, coalesce(changed, i.updated_at) as updated_at,
+          coalesce(f.state not in {inside(rules.CLOSED_INCIDENT_STATES)} and until > {NOW}, false) as snoozed
+        from incidents i join (select incident_id, arg_max(state, turn) as state from life_steps group by 1) f using (incident_id)
+        left join (select incident_id, max(given_at) as changed, {latest_given('ACKNOWLEDGE', 'given_at')} as acknowledged_at,
+            {latest_given('ASSIGN', 'owner')} as owner, {latest_given('SNOOZE', 'reason')} as snooze_reason,
+            {latest_given('SNOOZE', 'given_at + to_hours(snooze_hours)')} as until,
+            bool_or(action = 'ESCALATE') as escalated, {latest_given('RESOLVE', 'reason')} as resolved,
+            {latest_given('FALSE_POSITIVE', 'reason')} as dismissed
+          from lived where accepted group by 1) g using (incident_id))"""
+
+
 def assemble(body: str) -> str:
     """Put the steps a query mentions, directly or through others, in front of it."""
     needed: dict[str, str] = {}

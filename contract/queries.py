@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse import rules
 from plantpulse.operators import (
     anomalies, assessments, checks, context, features, forecasts, health, incidents, preparation,
-    production, readings, reports, work_orders,
+    production, readings, reports, similar, triage, work_orders,
 )
 from plantpulse.operators.durable import fresh_folder
+from plantpulse.plans import cycle
 from plantpulse.plans.fleet import FleetPlan
+from plantpulse.sources import store
 from plantpulse.sources.shared import SharedTables
 from plantpulse.streaming import lifecycle, refresh, windows
 
@@ -208,6 +210,11 @@ def signal_correlation(p):
     return features.signal_correlation(p.hourly)
 
 
+@query()
+def signal_correlations(p):
+    return features.signal_correlations(p.hourly)
+
+
 @query()
 def latest_signal_features(p):
     return p.latest
@@ -218,7 +225,7 @@ def signal_health_score(p):
     return p.scores
 
 
-@query()
+@query(shared=True)
 def fleet_health(p):
     return p.fleet
 
@@ -386,6 +393,29 @@ def carry_over(p):
     )
 
 
+SLA_HOURS = {"CRITICAL": 24, "HIGH": 160, "MEDIUM": 168}
+
+
+def _lived(p):
+    return triage.incident_lifecycle(
+        p.incidents, p.tables.lifecycle_commands(), as_of=AS_OF, hours=SLA_HOURS
+    )
+
+
+@query(shared=True)
+def incident_lifecycle(p):
+    """Incidents after all commands on them, snoozes that ended and hours that ran out."""
+    return _lived(p).incidents.select(
+        "incident_id", "machine_id", "severity", "status", "owner", "acknowledged_at", "snooze_reason",
+        "snoozed_until", "escalation_status", "resolution_reason", "false_positive_reason", "updated_at",
+    )
+
+
+@query(shared=True)
+def lifecycle_results(p):
+    return _lived(p).results
+
+
 # --- work orders ------------------------------------------------------------
 
 def _asked(p):
@@ -553,9 +583,9 @@ def active_forecasts(p):
     return reports.active_forecasts(p.forecasts)
 
 
-@query()
+@query(shared=True)
 def recent_deviation(p):
-    return reports.recent_deviation(p.features, as_of=AS_OF)
+    return reports.recent_deviation(p.recent_features(days=7), as_of=AS_OF)
 
 
 @query(shared=True)
@@ -563,6 +593,12 @@ def similar_cases(p):
     return reports.similar_cases(p.incidents, p.history)
 
 
+@query()
+def similar_repairs(p):
+    """For every repair the ten most alike in their words."""
+    return similar.similar_repairs(p.history)
+
+
 @query(shared=True)
 def grounding_context(p):
     return reports.grounding_context(p.incidents, p.history).drop("evidence_json")
@@ -618,22 +654,6 @@ def sensor_freshness(p):
     return reports.sensor_freshness(p.clean, as_of=AS_OF)
 
 
-@query()
-def pipeline_status(p):
-    """A refresh per dataset and hour, taken from the readings that arrived in it."""
-    hour = F.date_trunc("hour", "reading_timestamp").cast("timestamp_ntz")
-    log = (
-        p.readings.groupBy(F.col("signal_type").alias("dataset"), hour.alias("refreshed_at"))
-        .agg(
-            F.max("reading_timestamp").alias("latest_data"),
-            F.when(F.count_if(F.col("quality_flag") != "GOOD") > 0, F.lit("PARTIAL"))
-            .otherwise(F.lit("SUCCEEDED")).alias("state"),
-        )
-        .withColumns({"layer": F.lit("STAGING"), "target_lag_sec": F.lit(3600).cast("long")})
-    )
-    return reports.pipeline_status(log, as_of=AS_OF)
-
-
 @query(shared=True)
 def model_versions(p):
     return reports.model_versions(p.forecasts, p.anomalies)
@@ -808,18 +828,27 @@ def stream_breach_sessions(p):
     return _drained(p, windows.breach_sessions_stream(_arriving_clean(p)), "sessions")
 
 
+def _in_waves(p, rows, wave, waves, path, handle, name):
+    """Rows that arrive in waves, each handled as one micro-batch of one stream."""
+    spark, stored = p.machines.sparkSession, f"{path}/arrived"
+    for i in range(waves):
+        rows.where(wave == i).write.mode("overwrite").parquet(f"{stored}/{i}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{stored}/*")
+        refresh.run_batches(arriving, handle, path, name=name).awaitTermination()
+
+
 def _decided(p):
+    """Commands in four waves, an order's in their order; the second one ends with a new snapshot."""
     spark = p.machines.sparkSession
     path = fresh_folder(spark, "decisions")
-    lifecycle.open_orders(p.work_orders, path)
+    lifecycle.open_orders(p.work_orders, path, buckets=4)
 
     def handle(batch, batch_id):
-        lifecycle.decide_batch(
-            batch, batch_id, root=path, work_orders=p.work_orders, as_of=AS_OF
-        )
+        lifecycle.decide_batch(batch, batch_id, root=path, as_of=AS_OF, compact_every=2)
 
-    commands = p.tables.approval_commands(p.tables.stream("orders"))
-    refresh.run_batches(commands, handle, path, name="commands").awaitTermination()
+    seq = F.col("command_seq")
+    wave = F.when(seq % 2 == 1, F.lit(3)).otherwise(F.floor(seq / 2) % 3)
+    _in_waves(p, p.tables.approval_commands(), wave, 4, path, handle, "commands")
     return spark, path
 
 
@@ -832,23 +861,33 @@ def stream_decisions(p):
 @query()
 def stream_orders(p):
     spark, path = _decided(p)
-    return lifecycle.current_orders(spark, path, p.work_orders).select(
+    return lifecycle.current_orders(spark, path).select(
         *ORDER_COLUMNS, "approved_by", "approved_at", "updated_at"
     )
 
 
-def _refreshed(p):
+WAVES = 4
+LAG_SECONDS = 3600
+
+
+def _refreshed(p, log=False):
+    """Readings in four waves by their day, every tenth a wave late; the third wave ends with compaction."""
     spark = p.machines.sparkSession
     path = fresh_folder(spark, "refresh")
 
     def handle(batch, batch_id):
-        refresh.refresh_clean(batch, batch_id, root=path, sensors=p.sensors)
-        refresh.refresh_fleet(
-            batch_id, spark=batch.sparkSession, root=path, machines=p.machines,
-            events=p.events, as_of=AS_OF,
-        )
-
-    refresh.run_batches(_arriving(p), handle, path, name="readings").awaitTermination()
+        refresh.refresh_clean(batch, batch_id, root=path, sensors=p.sensors, compact_every=3)
+        if log:
+            for name in ("clean", "hourly"):
+                refresh.log_refresh(
+                    getattr(refresh, f"{name}_table")(batch.sparkSession, path), batch_id, root=path, dataset=name,
+                    layer="STAGING", input_rows=batch.count(), target_lag_sec=LAG_SECONDS,
+                    refreshed_at=AS_OF + timedelta(minutes=5 * batch_id),
+                )
+
+    day = F.least(F.floor((F.dayofmonth("reading_timestamp") - 1) / 8), F.lit(WAVES - 1))
+    wave = F.least(day + F.when(F.col("reading_id") % 10 == 7, F.lit(1)).otherwise(F.lit(0)), F.lit(WAVES - 1))
+    _in_waves(p, p.readings, wave, WAVES, path, handle, "readings")
     return spark, path
 
 
@@ -857,9 +896,25 @@ def stream_refreshed_clean(p):
     return refresh.read_clean(*_refreshed(p))
 
 
+@query()
+def stream_refreshed_hourly(p):
+    return refresh.read_hourly(*_refreshed(p))
+
+
 @query()
 def stream_refreshed_fleet(p):
-    return refresh.read_fleet(*_refreshed(p))
+    spark, path = _refreshed(p)
+    refresh.refresh_fleet(
+        WAVES - 1, spark=spark, root=path, machines=p.machines, events=p.events, as_of=AS_OF,
+    )
+    return refresh.read_fleet(spark, path)
+
+
+@query()
+def pipeline_status(p):
+    """The status of datasets that a refresh in four batches wrote, from the log it left."""
+    spark, path = _refreshed(p, log=True)
+    return reports.pipeline_status(store.read_table(spark, path, "refresh_log"), as_of=AS_OF)
 
 
 @query(shared=True)
@@ -871,3 +926,37 @@ def stream_notifications(p):
         p.incidents.drop("evidence_json").write.mode("overwrite").parquet(f"{path}/in/{repeat}")
     arriving = spark.readStream.schema(p.incidents.drop("evidence_json").schema).parquet(f"{path}/in/*")
     return _drained(p, windows.notification_stream(arriving), "notices")
+
+
+def _cycled(p):
+    """Three cycles, each over the incidents of all waves so far, the last one run twice."""
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, "cycles")
+    known = p.incidents.drop("evidence_json").withColumn("wave", F.substring("incident_id", 5, 9).cast("int") % 3)
+    known.write.parquet(f"{path}/incidents")
+    stored = spark.read.schema(known.schema).parquet(f"{path}/incidents")
+
+    def incidents_at(batch, batch_id):
+        return stored.where(F.col("wave") <= batch_id), AS_OF + timedelta(minutes=5 * batch_id)
+
+    for wave in range(3):
+        stored.where(F.col("wave") == wave).write.mode("overwrite").parquet(f"{path}/arrived/{wave}")
+        ticks = spark.readStream.schema(known.schema).parquet(f"{path}/arrived/*")
+        cycle.run_cycles(ticks, incidents_at, path).awaitTermination()
+    incidents_now, as_of = incidents_at(None, 2)
+    cycle.run_cycle(incidents_now, path, as_of=as_of, cycle=f"cycle-{2:08}")
+    return spark, path
+
+
+@query(shared=True)
+def stream_cycle(p):
+    """What the cycles announced, each incident once, with the time of its cycle."""
+    spark, path = _cycled(p)
+    return store.read_table(spark, path, "notification_log").select(
+        "notification_type", "reference_id", "machine_id", "severity", "message", "sent_at", "status"
+    )
+
+
+@query(shared=True)
+def stream_cycle_log(p):
+    return cycle.read_cycles(*_cycled(p))

@@ -85,6 +85,29 @@ def _running_means(hourly: DataFrame, series):
     return totals, mean
 
 
+def signal_correlations(hourly: DataFrame, *, signals=rules.SIGNALS) -> DataFrame:
+    """Correlation of every two signals of a machine, hour by hour: a row for each pair.
+
+    Signals become columns and all pairs above the diagonal are one aggregation
+    of co-moments, which each task adds up before the shuffle; no signal is
+    joined with another. A pair without common hours, or of which one signal
+    does not change, has no correlation.
+    """
+    wide = hourly.groupBy("machine_id", "hour_bucket").agg(
+        *[F.max(F.when(F.col("signal_type") == s, F.col("avg_value"))).alias(s) for s in signals]
+    )
+    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1:]]
+    both = wide.groupBy("machine_id").agg(*[
+        F.struct(
+            F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), half_up(F.corr(a, b), 6).alias("correlation"),
+            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("hours"),
+        ).alias(f"_{i}")
+        for i, (a, b) in enumerate(pairs)
+    ])
+    each = F.explode(F.array(*[F.col(f"_{i}") for i in range(len(pairs))]))
+    return both.select("machine_id", each.alias("_pair")).select("machine_id", "_pair.*")
+
+
 def signal_correlation(hourly: DataFrame) -> DataFrame:
     """Correlation of vibration with each other signal of a machine, hour by hour."""
     wide = hourly.groupBy("machine_id", "hour_bucket").agg(

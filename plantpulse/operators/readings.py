@@ -59,28 +59,34 @@ def reading_history(
     lookback: int = rules.SPIKE_LOOKBACK,
     hot_rows: int = HOT_ROWS,
     slice_rows: int = SLICE_ROWS,
+    changed: str | None = None,
 ) -> DataFrame:
     """Adds the gap to the sensor's previous reading and the spike flag.
 
     Runs before the sensor join, so that the one shuffle is on (sensor, slice)
-    and a large registry cannot force a shuffle on the sensor alone.
+    and a large registry cannot force a shuffle on the sensor alone. ``changed``
+    names a flag of new readings: only these and the ``lookback`` after each,
+    whose flags they change, are kept.
     """
+    carried = ["reading_value", *([changed] if changed else [])]
     rows = with_lookback(
         readings, key="sensor_id", ts="reading_timestamp", tie="reading_id",
-        carried=["reading_value"], lookback=lookback, hot_rows=hot_rows, slice_rows=slice_rows,
+        carried=carried, lookback=lookback, hot_rows=hot_rows, slice_rows=slice_rows,
     )
     by_sensor = Window.partitionBy("sensor_id", "_slice").orderBy("reading_timestamp", "reading_id")
     recent = by_sensor.rowsBetween(-lookback, -1)
     value = F.col("reading_value")
     previous = F.lag("reading_timestamp").over(by_sensor)
+    touched = F.max(changed).over(by_sensor.rowsBetween(-lookback, 0)) if changed else F.lit(True)
     return (
         rows.select(
             "*",
             previous.alias("_previous"),
             F.avg(value).over(recent).alias("_mean"),
             F.stddev_samp(value).over(recent).alias("_sd"),
+            touched.alias("_touched"),
         )
-        .where(~F.col("_before"))
+        .where(~F.col("_before") & F.col("_touched"))
         .withColumns({
             "gap_seconds": epoch_seconds(F.col("reading_timestamp"))
             - epoch_seconds(F.col("_previous")),
@@ -88,7 +94,7 @@ def reading_history(
                 F.abs(value - F.col("_mean")) > F.col("_sd") * sigma + NOISE, F.lit(False)
             ),
         })
-        .drop("_slice", "_before", "_previous", "_mean", "_sd")
+        .drop("_slice", "_before", "_previous", "_mean", "_sd", "_touched")
     )
 
 

@@ -154,3 +154,20 @@ CORE_SIGNALS = (
 PRESSURE_SIGNAL = ("PRESSURE", "bar", 0.0, 300.0, 220.0, 260.0)
 ACOUSTIC_SIGNAL = ("ACOUSTIC", "dB", 30.0, 110.0, 85.0, 95.0)
 DEFAULT_INTERVAL_SEC = 60
+
+# --- Fixed values: the life of an incident -----------------------------------
+# states in order, and for each action where it leads from the states that allow it
+INCIDENT_STATES = ("NEW", "ACKNOWLEDGED", "ASSIGNED", "WORK_ORDER_PENDING", "RESOLVED", "FALSE_POSITIVE")
+CLOSED_INCIDENT_STATES = ("RESOLVED", "FALSE_POSITIVE")
+INCIDENT_MOVES = {
+    "ACKNOWLEDGE": {"NEW": "ACKNOWLEDGED"},
+    "ASSIGN": {"NEW": "ASSIGNED", "ACKNOWLEDGED": "ASSIGNED", "ASSIGNED": "ASSIGNED"},
+    "REQUEST_ORDER": {"ACKNOWLEDGED": "WORK_ORDER_PENDING", "ASSIGNED": "WORK_ORDER_PENDING"},
+    "SNOOZE": {"NEW": "NEW", "ACKNOWLEDGED": "ACKNOWLEDGED", "ASSIGNED": "ASSIGNED"},
+    "ESCALATE": {
+        "NEW": "NEW", "ACKNOWLEDGED": "ACKNOWLEDGED", "ASSIGNED": "ASSIGNED", "WORK_ORDER_PENDING": "WORK_ORDER_PENDING",
+    },
+    "RESOLVE": {"ACKNOWLEDGED": "RESOLVED", "ASSIGNED": "RESOLVED", "WORK_ORDER_PENDING": "RESOLVED"},
+    "FALSE_POSITIVE": {"NEW": "FALSE_POSITIVE", "ACKNOWLEDGED": "FALSE_POSITIVE", "ASSIGNED": "FALSE_POSITIVE"},
+    "REOPEN": {"RESOLVED": "NEW", "FALSE_POSITIVE": "NEW"},
+}

@@ -84,6 +84,9 @@ REFRESH_LOG = _table("""
     dataset:str! layer:str! state:str! batch_id:long input_rows:long latest_data:ts
     refreshed_at:ts! target_lag_sec:long""")
 
+CYCLE_LOG = _table("""
+    cycle_id:str! as_of:ts! new_incidents:long notifications:long message:str""")
+
 TABLES = {
     "machines": MACHINES,
     "sensors": SENSORS,
@@ -97,6 +100,7 @@ TABLES = {
     "work_orders": WORK_ORDERS,
     "notification_log": NOTIFICATION_LOG,
     "refresh_log": REFRESH_LOG,
+    "cycle_log": CYCLE_LOG,
 }
 
 # What a column holds when the writer leaves it out

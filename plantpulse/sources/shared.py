@@ -344,3 +344,19 @@ class SharedTables:
                 .otherwise(F.lit("FALSE_POSITIVE")).alias("action"),
             )
         )
+
+    def lifecycle_commands(self) -> DataFrame:
+        """A history of commands on incidents, by order number; unknown actions and incidents included."""
+        o = F.col("o_orderkey")
+        actions = ("ACKNOWLEDGE", "ASSIGN", "SNOOZE", "REQUEST_ORDER", "ESCALATE", "RESOLVE", "FALSE_POSITIVE", "REOPEN", "DANCE")
+        return self.raw("orders").select(
+            o.alias("command_seq"),
+            incident_key((o / 3).cast("long") % 40 + 1).alias("incident_id"),
+            _pick(actions, (o * 7 + F.col("o_custkey")) % 9).alias("action"),
+            (F.lit("2024-01-23 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+                F.lit(0), F.lit(0), F.lit(0), ((o * 37) % 691200).cast("decimal(18,6)")
+            )).alias("given_at"),
+            F.concat(F.lit("TECH-"), (F.col("o_custkey") % 6).cast("string")).alias("owner"),
+            F.concat(F.lit("Reason "), (o % 8).cast("string")).alias("reason"),
+            ((o % 5) * 24).cast("int").alias("snooze_hours"),
+        )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plantpulse.sources.schemas import DEFAULTS, SURROGATES, TABLES
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store the path is in; none if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    """A stored table; readings by day, so that days are pruned, others with all their runs."""
+    reader = spark.read.schema(TABLES[name])
+    if name != "sensor_readings":
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.parquet(f"{root}/{name}")
 
 
 class StoredTables:
@@ -48,8 +60,22 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def append_table(df: DataFrame, name: str, root: str) -> None:
-    conform(df, name).write.mode("append").parquet(f"{root}/{name}")
+def append_table(df: DataFrame, name: str, root: str, run: str | None = None) -> None:
+    """Add rows to a table. A run that is repeated under its name replaces what it had added."""
+    place = f"{root}/{name}/run={run or uuid.uuid4().hex}"
+    conform(df, name).write.mode("overwrite").parquet(place)
+
+
+def read_runs(
+    spark: SparkSession, root: str, name: str, *, without: str | None = None, only: str | None = None
+) -> DataFrame:
+    """The runs of an appended table: all, all but one, or one; no rows where none was added yet."""
+    runs = [r for r in children(spark, f"{root}/{name}") if r.startswith("run=")]
+    chosen = [r for r in runs if r != f"run={without}" and only in (None, r[4:])]
+    if not chosen:
+        return spark.createDataFrame([], TABLES[name])
+    reader = spark.read.schema(TABLES[name]).option("recursiveFileLookup", "true")
+    return reader.parquet(*[f"{root}/{name}/{r}" for r in chosen])
 
 
 def write_readings(readings: DataFrame, path: str, slices_per_day: int = 1) -> None:

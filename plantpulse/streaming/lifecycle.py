@@ -1,9 +1,10 @@
 """Work-order decisions over a stream of commands.
 
-The state of an order is its last written version. Each micro-batch is applied
-as a whole by the same operator that serves a batch of commands: however many
-commands one order receives, they are reduced to the deciding one before they
-meet the order.
+Orders are a table in steps, by buckets of their number: one snapshot and the
+orders that later batches changed. A batch reads the buckets its commands name
+and is applied as a whole by the same operator that serves a batch of commands:
+however many commands one order receives, they are reduced to the deciding one
+before they meet the order.
 """
 
 from __future__ import annotations
@@ -13,36 +14,51 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.operators.work_orders import apply_approvals
-from plantpulse.sources.store import patch
-from plantpulse.streaming.refresh import batches, last_versions, put_batch
+from plantpulse.sources.snapshots import SnapshotTable, bucket_of
+from plantpulse.streaming.refresh import put_batch
 
-DECIDED = ["status", "approved_by", "approved_at", "updated_at"]
+#: Orders in a bucket, about, when a table is laid down.
+BUCKET_ROWS = 1_000_000
 
 
-def open_orders(work_orders: DataFrame, root: str) -> None:
-    """Lay down the (empty) first version that later batches follow."""
-    put_batch(work_orders.limit(0), f"{root}/orders", -1)
+def orders_table(spark: SparkSession, root: str, buckets: int | None = None) -> SnapshotTable:
+    """Orders by buckets; without a number as many as the table was laid down with."""
+    if buckets is None:
+        buckets = int(spark.read.text(f"{root}/buckets").first()[0])
+    return SnapshotTable(spark, f"{root}/orders", key=["work_order_id"], part=bucket_of("work_order_id", buckets))
 
 
-def current_orders(
-    spark: SparkSession, root: str, work_orders: DataFrame, before: int | None = None
-) -> DataFrame:
-    """Stored orders with the versions written before a batch, or with all of them."""
-    known = batches(spark, f"{root}/orders", None if before is None else before - 1)
-    return patch(work_orders, last_versions(known, "work_order_id"), "work_order_id", DECIDED)
+def open_orders(work_orders: DataFrame, root: str, buckets: int | None = None) -> None:
+    """Lay down the first snapshot, which later batches change."""
+    spark = work_orders.sparkSession
+    buckets = buckets or max(1, work_orders.count() // BUCKET_ROWS)
+    spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/buckets")
+    orders_table(spark, root, buckets).replace(work_orders, batch=-1)
+
+
+def current_orders(spark: SparkSession, root: str) -> DataFrame:
+    """The orders as the last batch left them."""
+    return orders_table(spark, root).read()
 
 
 def decide_batch(
-    batch: DataFrame, batch_id: int, *, root: str, work_orders: DataFrame, as_of: datetime
+    batch: DataFrame, batch_id: int, *, root: str, as_of: datetime, compact_every: int | None = None
 ) -> None:
-    """Write the outcome of a batch of commands and the orders it changed."""
-    spark = batch.sparkSession
-    named = batch.select("work_order_id").distinct()
-    touched = work_orders.join(named, "work_order_id", "left_semi")
-    orders = current_orders(spark, root, touched, before=batch_id)
+    """Write the outcome of a batch of commands and the orders it changed.
+
+    A repeated batch meets the orders as they were before its first attempt.
+    With ``compact_every`` every so many batches end with a new snapshot.
+    """
+    table = orders_table(batch.sparkSession, root)
+    before = table.step(batch_id)
+    named = batch.select("work_order_id").distinct().withColumn("_part", table.part)
+    parts = [r._part for r in named.select("_part").distinct().collect() if r._part]  # at most all buckets
+    orders = table.read(parts=parts, step=before).join(named.drop("_part"), "work_order_id", "left_semi")
     applied = apply_approvals(orders, batch, as_of=as_of)
-    changed = applied.orders.join(
-        orders.where(F.col("status") == "DRAFT").select("work_order_id"), "work_order_id", "left_semi"
-    ).where(F.col("status") != "DRAFT")
     put_batch(applied.results, f"{root}/decisions", batch_id)
-    put_batch(changed, f"{root}/orders", batch_id)
+    drafts = orders.where(F.col("status") == "DRAFT").select("work_order_id")
+    changed = applied.orders.join(drafts, "work_order_id", "left_semi").where(F.col("status") != "DRAFT")
+    table.change(changed.select(*orders.columns), batch=batch_id)
+    if compact_every and batch_id % compact_every == compact_every - 1:
+        table.compact()
+        table.vacuum()

@@ -1,16 +1,17 @@
 """Datasets refreshed batch by batch, and the way streams are run.
 
-Every micro-batch writes its own folder and replaces it if the batch is
-repeated, so a restart neither loses nor doubles rows. A row that was computed
-again in a later batch has several versions; readers take the last.
+Readings, clean readings and hourly statistics are tables in steps, by day
+(``sources/snapshots.py``): a batch lays its new and changed rows on top, a
+repeated batch starts from where its first attempt did, and readers see whole
+steps. A batch reads the days around its readings, not the past.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse import rules
@@ -20,10 +21,11 @@ from plantpulse.operators.features import SERIES, hourly_stats, rolling_features
 from plantpulse.operators.health import fleet_health, latest_signal_features, signal_health_score
 from plantpulse.operators.latest import newest
 from plantpulse.operators.readings import clean_readings
+from plantpulse.sources.snapshots import SnapshotTable, bucket_of, day_of
+from plantpulse.sources.store import append_table
 
-
-def _newest_first():
-    return F.desc("reading_timestamp"), F.desc("reading_id")
+#: Days around a batch in which its neighbours are looked for first; doubled until they are found.
+SPAN_DAYS = 16
 
 
 def run_stream(
@@ -58,81 +60,136 @@ def batches(spark: SparkSession, path: str, up_to: int | None = None) -> DataFra
     return out if up_to is None else out.where(F.col("batch_id") <= up_to)
 
 
-def last_versions(df: DataFrame, key: str | list[str]) -> DataFrame:
-    return newest(df, key, F.desc("batch_id")).drop("batch_id")
+def readings_table(spark: SparkSession, root: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/readings", key=["reading_id"], part=day_of("reading_timestamp"), time="reading_timestamp")
 
 
-def _tail(rows: DataFrame, lookback: int) -> DataFrame:
-    """Per sensor the readings of its newest hour and the ``lookback`` before it."""
-    hour = hour_floor(F.col("reading_timestamp"))
-    marked = rows.join(
-        rows.groupBy("sensor_id").agg(hour_floor(F.max("reading_timestamp")).alias("_newest")),
-        "sensor_id",
-    )
-    inside = marked.where(hour == F.col("_newest"))
-    return inside.unionByName(
-        newest(marked.where(hour < F.col("_newest")), "sensor_id", *_newest_first(), keep=lookback)
-    ).drop("_newest")
+def counts_table(spark: SparkSession, root: str) -> SnapshotTable:
+    """How many readings a sensor has on a day: where to find the neighbours of a reading."""
+    return SnapshotTable(spark, f"{root}/counts", key=["sensor_id", "day"], part=F.col("day"))
+
+
+def clean_table(spark: SparkSession, root: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/clean", key=["reading_id"], part=day_of("reading_timestamp"), time="reading_timestamp")
+
+
+def hourly_table(spark: SparkSession, root: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/hourly", key=[*SERIES, "hour_bucket"], part=day_of("hour_bucket"), time="hour_bucket")
+
+
+def fleet_table(spark: SparkSession, root: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/fleet", key=["machine_id"], part=bucket_of("machine_id", 1), time="computed_at")
+
+
+def _moved(day: str, days: int) -> str:
+    return (date.fromisoformat(day) + timedelta(days=days)).isoformat()
+
+
+def neighbour_days(counts: SnapshotTable, arrived: DataFrame, lookback: int, span: int = SPAN_DAYS) -> DataFrame:
+    """sensor_id, day of the days on which readings arrived and of those that hold the ``lookback`` before and after.
+
+    Counts of the days around are read first; the span is doubled as long as a
+    sensor's neighbours may lie outside, which is seldom: a sensor at its normal
+    rate has them on the same day.
+    """
+    held = counts.parts()
+    first, last = arrived.agg(F.min("day"), F.max("day")).first()
+    by_day = Window.partitionBy("sensor_id").orderBy("day")
+    after = by_day.rowsBetween(1, Window.unboundedFollowing)
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("sensor_id")
+    while True:
+        since, until = _moved(first, -span), _moved(last, span)
+        near = counts.read(since, until).join(arrived.select("sensor_id").distinct(), "sensor_id", "left_semi")
+        marked = near.join(arrived.withColumn("_new", F.lit(True)), ["sensor_id", "day"], "left")
+        through = F.sum("readings").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+        summed = marked.withColumn("_through", through).withColumn("_until", F.col("_through") - F.col("readings"))
+        new = F.col("_new")
+        placed = summed.select(
+            "sensor_id", "day", "_new",
+            (F.first(F.when(new, F.col("_until")), ignorenulls=True).over(after) - F.col("_through")).alias("_to_next"),
+            (F.col("_until") - F.last(F.when(new, F.col("_through")), ignorenulls=True).over(before)).alias("_from_last"),
+            F.min(F.when(new, F.col("_until"))).over(whole).alias("_before"),
+            (F.sum("readings").over(whole) - F.max(F.when(new, F.col("_through"))).over(whole)).alias("_after"),
+        )
+        short = placed.agg(F.min("_before"), F.min("_after")).first()
+        if not held or (
+            (short[0] is None or short[0] >= lookback or since <= held[0])
+            and (short[1] is None or short[1] >= lookback or until >= held[-1])
+        ):
+            break
+        span *= 2
+    return placed.where(new | (F.col("_to_next") < lookback) | (F.col("_from_last") < lookback)).select("sensor_id", "day")
 
 
 def refresh_clean(
     batch: DataFrame, batch_id: int, *, root: str, sensors: DataFrame,
-    lookback: int = rules.SPIKE_LOOKBACK,
+    lookback: int = rules.SPIKE_LOOKBACK, compact_every: int | None = None,
 ) -> None:
     """Clean the readings of a batch and those whose flags and hours they change.
 
-    A new reading changes the flags of later readings of its sensor, so each
-    touched sensor is cleaned again from the hour of its earliest new reading.
-    What lies before comes from the tails the last batch left; only sensors
-    with readings from before their tail need the stored history.
+    A new reading changes the flags of the ``lookback`` readings after it, and
+    these need the ones before them: only the sensors' days that hold them are
+    read. Then the hours with a changed reading are added up again from the
+    clean readings of their days. With ``compact_every`` every so many batches
+    end by folding the changes into their days.
     """
     spark = batch.sparkSession
-    put_batch(batch, f"{root}/readings", batch_id)
-    if batch_id == 0:
-        put_batch(batch.limit(0), f"{root}/tails", -1)
-    stored = batches(spark, f"{root}/readings", batch_id)
-    arrived = stored.where(F.col("batch_id") == batch_id).drop("batch_id")
-    tails = batches(spark, f"{root}/tails").where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-
-    newest_hour = tails.groupBy("sensor_id").agg(
-        hour_floor(F.max("reading_timestamp")).alias("_tail_hour")
-    )
-    touched = (
-        arrived.groupBy("sensor_id")
-        .agg(hour_floor(F.min("reading_timestamp")).alias("_since"))
-        .join(newest_hour, "sensor_id", "left")
-        .withColumn("_late", F.coalesce(F.col("_since") < F.col("_tail_hour"), F.lit(False)))
-        .drop("_tail_hour")
-    )
-    late = touched.where("_late")
-    before = tails.join(touched.where("not _late"), "sensor_id")
-    if not late.isEmpty():
-        past = stored.where(F.col("batch_id") < batch_id).drop("batch_id")
-        before = before.unionByName(past.join(late, "sensor_id"))
-    rows = arrived.join(touched, "sensor_id").unionByName(before).drop("_late")
-
-    again = F.col("reading_timestamp") >= F.col("_since")
-    context = newest(rows.where(~again), "sensor_id", *_newest_first(), keep=lookback)
-    cleaned = clean_readings(
-        rows.where(again).unionByName(context).drop("_since"), sensors, lookback=lookback
-    ).join(touched.select("sensor_id", "_since"), "sensor_id").where(again).drop("_since")
-    put_batch(cleaned, f"{root}/clean", batch_id)
-    put_batch(
-        hourly_stats(batches(spark, f"{root}/clean").where(F.col("batch_id") == batch_id)),
-        f"{root}/hourly", batch_id,
-    )
-    kept = _tail(rows.drop("_since"), lookback)
-    put_batch(
-        kept.unionByName(tails.join(touched, "sensor_id", "left_anti")), f"{root}/tails", batch_id
+    readings, counts = readings_table(spark, root), counts_table(spark, root)
+    clean, hourly = clean_table(spark, root), hourly_table(spark, root)
+    days = readings.change(batch.withColumn("arrived_in", F.lit(batch_id).cast("long")), batch=batch_id)
+    day = day_of("reading_timestamp")
+    stored = readings.read(parts=days).withColumn("day", day)
+    arrived = stored.where(F.col("arrived_in") == batch_id).select("sensor_id", "day").distinct()
+    counts.change(
+        stored.join(arrived, ["sensor_id", "day"], "left_semi").groupBy("sensor_id", "day").agg(F.count("*").alias("readings")),
+        batch=batch_id,
     )
+    if days:
+        around = neighbour_days(counts, counts.last_change(batch_id).select("sensor_id", "day"), lookback)
+        near = sorted(r.day for r in around.select("day").distinct().collect())  # as many as days in the calendar
+        rows = readings.read(parts=near).withColumn("day", day).join(around, ["sensor_id", "day"], "left_semi").drop("day")
+    else:
+        rows = batch.limit(0).withColumn("arrived_in", F.lit(batch_id).cast("long"))
+    changed = rows.withColumn("_new", F.col("arrived_in") == batch_id)
+    days = clean.change(clean_readings(changed, sensors, lookback=lookback, changed="_new"), batch=batch_id)
+    hours = [*SERIES, "hour_bucket"]
+    of_day = clean.read(parts=days).withColumn("hour_bucket", hour_floor(F.col("reading_timestamp")))  # none without days
+    fresh = clean.last_change(batch_id) if days else of_day
+    again = fresh.select(*SERIES, hour_floor(F.col("reading_timestamp")).alias("hour_bucket")).distinct()
+    hourly.change(hourly_stats(of_day.join(again, hours, "left_semi").drop("hour_bucket")), batch=batch_id)
+    if compact_every and batch_id % compact_every == compact_every - 1:
+        for table in (readings, counts, clean, hourly):
+            table.compact()
+            table.vacuum()
 
 
 def read_clean(spark: SparkSession, root: str) -> DataFrame:
-    return last_versions(batches(spark, f"{root}/clean"), "reading_id")
+    return clean_table(spark, root).read()
 
 
 def read_hourly(spark: SparkSession, root: str) -> DataFrame:
-    return last_versions(batches(spark, f"{root}/hourly"), [*SERIES, "hour_bucket"])
+    return hourly_table(spark, root).read()
+
+
+def recent_hours(hourly: SnapshotTable, *, as_of: datetime, hours: int, needed: int) -> DataFrame:
+    """The last ``needed`` hourly rows up to a time of every series that has any in its last ``hours``.
+
+    Days are read back from the time until every such series has its rows or
+    the table begins; a series at its normal rate needs needed / 24 days.
+    """
+    until, held = as_of.date().isoformat(), hourly.parts()
+    step = hourly.step()
+    start, span = moment(as_of - timedelta(hours=hours)), needed // 24 + 2
+    while True:
+        since = _moved(until, -span)
+        rows = hourly.read(since, until, step=step).where(F.col("hour_bucket") <= moment(as_of))
+        seen = rows.groupBy(*SERIES).agg(F.count("*").alias("_rows"), F.max("hour_bucket").alias("_last"))
+        active = seen.where(F.col("_last") >= start)
+        if not held or since <= held[0] or (active.agg(F.min("_rows")).first()[0] or needed) >= needed:
+            break
+        span *= 2
+    return newest(rows.join(active.select(*SERIES), SERIES, "left_semi"), SERIES, F.desc("hour_bucket"), keep=needed)
 
 
 def refresh_fleet(
@@ -142,41 +199,35 @@ def refresh_fleet(
     """Fleet health from the hourly statistics of all batches so far.
 
     The score of the last hours needs at most those hours' rows of a series and
-    the longest frame before them; rows after the as-of time and older ones are cut
-    off before the shuffle.
+    the longest frame before them: the days that hold these are read, and of the
+    readings the days of the last six hours.
     """
-    needed = hours + 1 + rules.WEEK_FRAME
-    until = read_hourly(spark, root).where(F.col("hour_bucket") <= moment(as_of))
-    hourly = newest(until, SERIES, F.desc("hour_bucket"), keep=needed)
+    hourly = recent_hours(hourly_table(spark, root), as_of=as_of, hours=hours, needed=hours + 1 + rules.WEEK_FRAME)
     scores = signal_health_score(
         latest_signal_features(rolling_features(hourly), as_of=as_of, hours=hours)
     )
-    readings = batches(spark, f"{root}/readings", batch_id).drop("batch_id")
+    day = as_of.date().isoformat()
+    readings = readings_table(spark, root).read(_moved(day, -1), day).drop("arrived_in")
     context = operating_context(machines, events, readings, as_of=as_of)
-    put_batch(fleet_health(machines, context, scores, as_of=as_of), f"{root}/fleet", batch_id)
+    fleet_table(spark, root).replace(fleet_health(machines, context, scores, as_of=as_of), batch=batch_id)
 
 
 def read_fleet(spark: SparkSession, root: str) -> DataFrame:
-    return last_versions(batches(spark, f"{root}/fleet"), "machine_id")
+    return fleet_table(spark, root).read()
 
 
 def log_refresh(
-    spark: SparkSession, query: StreamingQuery, *, root: str, dataset: str, layer: str,
-    target_lag_sec: int, refreshed_at: datetime,
+    table: SnapshotTable, batch_id: int, *, root: str, dataset: str, layer: str, input_rows: int,
+    target_lag_sec: int, refreshed_at: datetime, state: str = "SUCCEEDED",
 ) -> None:
-    """Note the last progress of a finished refresh for the status report."""
-    progress = query.lastProgress
-    rows = [(
-        dataset, layer, "FAILED" if query.exception() else "SUCCEEDED",
-        int(progress["batchId"]) if progress else None,
-        int(progress["numInputRows"]) if progress else None, target_lag_sec,
-    )]
-    entry = spark.createDataFrame(
-        rows, "dataset string, layer string, state string, batch_id long, input_rows long, target_lag_sec long"
-    )
-    from plantpulse.sources.store import append_table
+    """Note a refresh of a table: what came in, how far its data reach, when it ended.
 
-    append_table(
-        entry.withColumns({"refreshed_at": moment(refreshed_at), "latest_data": moment(refreshed_at)}),
-        "refresh_log", root,
+    The data time is the table's own high-water mark. A repeated batch replaces its row.
+    """
+    spark, step = table.spark, table.step()
+    row = (dataset, layer, state, batch_id, input_rows, step.mark if step else None, refreshed_at, target_lag_sec)
+    entry = spark.createDataFrame(
+        [row], "dataset string, layer string, state string, batch_id long, input_rows long, "
+               "latest_data timestamp_ntz, refreshed_at timestamp_ntz, target_lag_sec long"
     )
+    append_table(entry.coalesce(1), "refresh_log", root, run=f"{dataset}-{batch_id}")

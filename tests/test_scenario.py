@@ -4,9 +4,10 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from plantpulse.operators import checks, reports, work_orders
-from plantpulse.plans.cycle import run_cycle
+from plantpulse.plans.cycle import read_cycles, run_cycle, run_cycles
 from plantpulse.plans.fleet import FleetPlan
 from plantpulse.sources.schemas import TABLES
 from plantpulse.sources.store import StoredTables, conform, replace_table, write_readings
@@ -129,11 +130,109 @@ def test_incident_to_work_order(plan):
 
 
 def test_cycle_announces_once(plan, tmp_path):
-    stored = StoredTables(plan.machines.sparkSession, str(tmp_path))
+    root = str(tmp_path)
+    stored = StoredTables(plan.machines.sparkSession, root)
     serious = plan.incidents.where("severity IN ('CRITICAL', 'HIGH')").count()
-    first = run_cycle(plan.incidents, str(tmp_path), as_of=NOW).first()
+    first = run_cycle(plan.incidents, root, as_of=NOW, cycle="1").first()
     assert (first.new_incidents, first.notifications) == (3, serious)
     assert {(r.status, r.sent_at) for r in stored.notification_log().collect()} == {("SENT", NOW)}
-    again = run_cycle(plan.incidents, str(tmp_path), as_of=NOW, log=stored.notification_log()).first()
+    repeated = run_cycle(plan.incidents, root, as_of=NOW, cycle="1").first()
+    assert repeated.notifications == serious and stored.notification_log().count() == serious
+    again = run_cycle(plan.incidents, root, as_of=NOW + timedelta(minutes=5), cycle="2").first()
     assert again.notifications == 0
     assert stored.notification_log().count() == serious
+    assert [(r.cycle_id, r.notifications) for r in read_cycles(plan.machines.sparkSession, root).orderBy("cycle_id").collect()] == [
+        ("1", serious), ("2", 0)]
+
+
+def test_what_was_announced_elsewhere_is_not_said_again(plan, tmp_path):
+    root = str(tmp_path)
+    run_cycle(plan.incidents, root, as_of=NOW, cycle="1")
+    said = StoredTables(plan.machines.sparkSession, root).notification_log()
+    other = run_cycle(plan.incidents, f"{root}/other", as_of=NOW, cycle="1", log=said).first()
+    assert other.notifications == 0
+
+
+def test_cycles_run_on_an_interval(plan, tmp_path):
+    """A clock sets the pace; after a restart the cycles go on where they were."""
+    spark, root = plan.machines.sparkSession, str(tmp_path)
+    known = plan.incidents.drop("evidence_json")
+    known.write.parquet(f"{root}/incidents")
+    stored = spark.read.schema(known.schema).parquet(f"{root}/incidents")
+
+    def run_until(cycles):
+        clock = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+        query = run_cycles(clock, lambda batch, n: (stored, NOW + timedelta(minutes=5 * n)), root, every="2 seconds")
+        try:
+            for _ in range(120):
+                if read_cycles(spark, root).count() >= cycles or query.exception():
+                    break
+                query.awaitTermination(1)
+        finally:
+            query.stop()
+        assert query.exception() is None
+
+    run_until(2)
+    run_until(4)
+    log = read_cycles(spark, root).orderBy("cycle_id").collect()
+    assert len(log) >= 4 and [r.cycle_id for r in log] == [f"cycle-{i:08}" for i in range(len(log))]
+    serious = plan.incidents.where("severity IN ('CRITICAL', 'HIGH')").count()
+    assert [r.notifications for r in log] == [serious] + [0] * (len(log) - 1)
+    assert StoredTables(spark, root).notification_log().count() == serious
+
+
+def test_stored_datasets_are_read_back(plan, tmp_path, plan_of):
+    """A second plan on the folder computes nothing anew, and reads the days it is asked for."""
+    root = str(tmp_path / "derived")
+    writer = FleetPlan(plan.tables, as_of=NOW, stored=root)
+    want = sorted(map(str, writer.fleet.collect()))
+    reader = FleetPlan(plan.tables, as_of=NOW, stored=root)
+    reader.tables = None  # machines and events are still asked for, readings no more
+    reader.machines, reader.events = plan.machines, plan.events
+    reader.context = plan.context
+    assert sorted(map(str, reader.fleet.collect())) == want
+    files = len(reader.features.inputFiles())
+    recent = reader.recent_features(hours=24)
+    assert files >= 30 and len(recent.inputFiles()) == 2
+    assert "part" in plan_of(recent) and "PartitionFilters: [isnotnull(part" in plan_of(recent)
+    assert reader.features_table.step().mark == NOW - timedelta(hours=1)
+    before = reader.features_table.step().number
+    FleetPlan(plan.tables, as_of=NOW, stored=root).refresh()
+    assert reader.features_table.step().number == before + 1
+
+
+def test_stored_readings_are_clustered(spark, plan, tmp_path):
+    """Files say which machines they hold: few of a day's files need to be opened for one machine."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = plan.readings.where("machine_id <> 'FAULTY'")
+    many = rows.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumns({
+        "machine_id": F.concat("machine_id", F.lpad(F.col("n").cast("string"), 2, "0")),
+        "reading_timestamp": F.col("reading_timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("n").cast("decimal(18,6)")),
+    }).where("reading_timestamp < timestamp_ntz '2024-01-03'").drop("n")
+    write_readings(many, f"{tmp_path}/r", slices_per_day=4)
+    files = glob.glob(f"{tmp_path}/r/reading_date=2024-01-02/*.parquet")
+
+    def holds(path, machine):
+        group = pq.ParquetFile(path).metadata.row_group(0)
+        stats = next(group.column(i).statistics for i in range(group.num_columns) if group.column(i).path_in_schema == "machine_id")
+        return stats.min <= machine <= stats.max
+
+    assert len(files) >= 6
+    for machine in ("ALIGN07", "LOADED20", "SEAL39"):
+        assert 1 <= sum(holds(f, machine) for f in files) <= 2
+    day = spark.read.parquet(f"{tmp_path}/r").where("reading_date = date '2024-01-02' and machine_id = 'SEAL39'")
+    assert day.count() == 24 and set(day.inputFiles()) <= {f"file://{f}" for f in files}
+
+
+def test_a_repeated_run_adds_nothing(spark, frame, tmp_path):
+    from plantpulse.sources.store import append_table, read_table
+
+    rows = frame("notification_type string, reference_id string, severity string", ("X", "R1", "HIGH"), ("X", "R2", "HIGH"))
+    for run in ("1", "1", "2"):
+        append_table(rows, "notification_log", str(tmp_path), run=run)
+    assert read_table(spark, str(tmp_path), "notification_log").count() == 4
+    append_table(rows, "notification_log", str(tmp_path))
+    assert read_table(spark, str(tmp_path), "notification_log").count() == 6

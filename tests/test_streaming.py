@@ -25,18 +25,47 @@ def arriving(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_refresh_in_order_needs_no_history(spark, frame, tmp_path):
-    """Later batches read tails only: the stored readings of the first are gone."""
-    rows, root = hourly_rows(), str(tmp_path)
-    sensors = frame(SENSOR, sensor("A-RPM", "rpm"))
-    for i in range(3):
-        batch = frame(READING, *rows[30 * i:30 * i + 30])
-        refresh.refresh_clean(batch, i, root=root, sensors=sensors)
-        if i == 0:
-            refresh.put_batch(batch.limit(0), f"{root}/readings", 0)
+def test_a_batch_reads_the_days_around_it(spark, frame, tmp_path):
+    """A late and a new reading among two months of days: all other days could be gone."""
+    import shutil
+
+    root = str(tmp_path)
+    rows = [(i, "A-RPM", "A", "RPM", float(i * i % 17), START + timedelta(hours=i), "GOOD") for i in range(24 * 60)]
+    late, new = rows[24 * 30 + 2], rows[-1]
+    sensors = frame(SENSOR, sensor("A-RPM", "rpm", every=7200))
+    first = [r for r in rows if r not in (late, new)]
+    refresh.refresh_clean(frame(READING, *first), 0, root=root, sensors=sensors)
+    days = lambda *numbers: {(START + timedelta(days=n)).date().isoformat() for n in numbers}
+    near = days(29, 30, 31, 58, 59)
+    for table in ("readings", "clean", "hourly"):
+        for place in (tmp_path / table / "rows").glob("version=*/part=*"):
+            if place.name[5:] not in near:
+                shutil.rmtree(place)
+    refresh.refresh_clean(frame(READING, late, new), 1, root=root, sensors=sensors)
+    whole = clean_readings(frame(READING, *rows), sensors)
+    table = refresh.clean_table(spark, root)
+    changed = table.last_change(1)
+    ids = sorted(r.reading_id for r in changed.collect())
+    assert ids == [*range(late[0], late[0] + 21), new[0]]
+    want = whole.where(F.col("reading_id").isin(ids)).select(changed.columns)
+    assert sorted(map(tuple, changed.collect())) == sorted(map(tuple, want.collect()))
+    hours = refresh.hourly_table(spark, root).last_change(1)
+    assert hours.count() == 22  # one reading an hour
+    assert set(refresh.readings_table(spark, root).parts()) == days(*range(60))
+
+
+def test_neighbours_of_a_seldom_sensor_are_found_further_away(spark, frame, tmp_path):
+    """A reading every ten days: its neighbours lie outside the first span of days."""
+    root = str(tmp_path)
+    rows = [(i, "A-RPM", "A", "RPM", float(i * i % 17), START + timedelta(days=10 * i), "GOOD") for i in range(60)]
+    sensors = frame(SENSOR, sensor("A-RPM", "rpm", every=86400 * 10))
+    order = [*range(0, 30), *range(31, 60), 30]
+    for n, some in enumerate((order[:40], order[40:59], order[59:])):
+        refresh.refresh_clean(frame(READING, *[rows[i] for i in some]), n, root=root, sensors=sensors, compact_every=2)
     whole = clean_readings(frame(READING, *rows), sensors)
     got = refresh.read_clean(spark, root).select(whole.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert refresh.clean_table(spark, root).last_change(2).count() == 21
 
 
 def sensors_of(frame):
@@ -67,9 +96,23 @@ def test_refreshed_clean_equals_batch_with_late_rows(spark, frame, tmp_path):
     assert sorted(map(tuple, hours.collect()), key=str) == sorted(
         map(tuple, hourly_stats(whole).select(hours.columns).collect()), key=str
     )
-    refresh.log_refresh(spark, query, root=root, dataset="clean", layer="STAGING", target_lag_sec=300, refreshed_at=NOW)
-    log = read_table(spark, root, "refresh_log").first()
-    assert (log.dataset, log.state, log.batch_id) == ("clean", "SUCCEEDED", 2)
+    assert query.exception() is None
+    for _ in range(2):
+        refresh.log_refresh(refresh.clean_table(spark, root), 2, root=root, dataset="clean", layer="STAGING",
+                            input_rows=3, target_lag_sec=300, refreshed_at=NOW)
+    log = read_table(spark, root, "refresh_log").collect()
+    assert [(r.dataset, r.state, r.batch_id, r.latest_data) for r in log] == [("clean", "SUCCEEDED", 2, max(r[5] for r in rows))]
+
+
+def test_an_empty_batch_changes_nothing(spark, frame, tmp_path):
+    root = str(tmp_path)
+    sensors = frame(SENSOR, sensor("A-RPM", "rpm"))
+    rows = hourly_rows()[:40]
+    for n, some in enumerate((rows[:30], [], rows[30:])):
+        refresh.refresh_clean(frame(READING, *some), n, root=root, sensors=sensors)
+    whole = clean_readings(frame(READING, *rows), sensors)
+    assert sorted(map(tuple, refresh.read_clean(spark, root).select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert refresh.read_hourly(spark, root).count() == hourly_stats(whole).count()
 
 
 def hourly_rows():
@@ -88,7 +131,7 @@ def test_refreshed_fleet_of_an_earlier_time(spark, frame, tmp_path):
     for hours in (150, 399):
         now = START + timedelta(hours=hours)
         refresh.refresh_fleet(hours, spark=spark, root=root, machines=machines, events=events, as_of=now)
-        got = refresh.batches(spark, f"{root}/fleet", hours).first()
+        got = refresh.read_fleet(spark, root).first()
         hourly = hourly_stats(clean_readings(frame(READING, *rows), sensors)).where(F.col("hour_bucket") <= F.lit(now).cast("timestamp_ntz"))
         scores = signal_health_score(latest_signal_features(rolling_features(hourly), as_of=now, hours=24))
         want = scores.first().signal_health_score
@@ -123,7 +166,8 @@ def test_decisions_over_batches_equal_one_by_one(spark, frame, tmp_path):
     stream = arriving(spark, f"{root}/in", frame(schema).schema)
 
     def handle(batch, batch_id):
-        lifecycle.decide_batch(batch, batch_id, root=root, work_orders=orders, as_of=NOW)
+        lifecycle.decide_batch(batch, batch_id, root=root, as_of=NOW, compact_every=2)
+        lifecycle.decide_batch(batch, batch_id, root=root, as_of=NOW)  # a repeated batch
 
     refresh.run_batches(stream, handle, root, name="commands").awaitTermination()
     statuses = {r.work_order_id: r.status for r in orders.collect()}
@@ -136,7 +180,7 @@ def test_decisions_over_batches_equal_one_by_one(spark, frame, tmp_path):
         expected.update(one_by_one(statuses, [c for c in commands if of[c[0]] == b]))
     assert len(batches) == 3
     assert {r.command_seq: r.result for r in results} == expected
-    assert {r.work_order_id: r.status for r in lifecycle.current_orders(spark, root, orders).collect()} == statuses
+    assert {r.work_order_id: r.status for r in lifecycle.current_orders(spark, root).collect()} == statuses
 
 
 def test_notifications_once_per_incident(spark, frame, tmp_path):
