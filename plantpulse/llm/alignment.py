@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 from plantpulse.llm.common import settled, ship
 from plantpulse.llm.memo import Memo
 
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 _BEFORE_UNIT = re.compile(r"(?<=\S)(?= \S)")
 _BETWEEN_UNITS = re.compile(r"\S \S")
 #: Units in one call of the tokenizers; characters of a text that are looked at together.
@@ -34,7 +34,7 @@ _OUT = (
 
 @lru_cache(maxsize=2)
 def first_tokenizer(path: str):
-    """The byte-level tokenizer, special strings being plain text, and the bytes of each of its entries."""
+    """The byte-level tokenizer, special strings being plain text, the bytes of each of its entries and their number."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -45,12 +45,13 @@ def first_tokenizer(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     entries = [made.id_to_token(i) or "" for i in range(made.get_vocab_size(with_added_tokens=True))]
-    return made, [bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
+    table = [bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
+    return made, table, np.array([len(t) for t in table])
 
 
 @lru_cache(maxsize=2)
 def second_tokenizer(path: str):
-    """The sentence-piece tokenizer, the bytes of each piece, and whether no piece goes on after a space."""
+    """The sentence-piece tokenizer, the bytes of each piece and their number, and whether no piece goes on after a space."""
     import sentencepiece
 
     made = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,7 +59,7 @@ def second_tokenizer(path: str):
     table = [
         bytes([int(p[3:5], 16)]) if made.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
     ]
-    return made, table, not any("▁" in p.lstrip("▁") for p in pieces)
+    return made, table, np.array([len(t) for t in table]), not any("▁" in p.lstrip("▁") for p in pieces)
 
 
 def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,42 +81,62 @@ def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 def token_ends(a_path: str, b_path: str, text: str):
     """Ids and byte ends of both tokenizers' tokens in space + text; None if either does not give those bytes back."""
-    a_tok, a_bytes = first_tokenizer(a_path)
-    b_tok, b_bytes, _ = second_tokenizer(b_path)
+    a_tok, a_bytes, a_sizes = first_tokenizer(a_path)
+    b_tok, b_bytes, b_sizes, _ = second_tokenizer(b_path)
     full = " " + text
     data = full.encode("utf-8", "surrogatepass")
     a = a_tok.encode(full, add_special_tokens=False)
-    b = b_tok.encode(text, return_type="proto").pieces
-    a_ids, b_ids = a.ids, [p.id for p in b]
-    if b"".join([a_bytes[i] for i in a_ids]) != data or b"".join([b_bytes[i] for i in b_ids]) != data:
+    b = [(p.id, p.begin, p.end) for p in b_tok.encode(text, return_type="proto").pieces]
+    if b"".join(map(a_bytes.__getitem__, a.ids)) != data or b"".join([b_bytes[i] for i, _, _ in b]) != data:
         return None
     # Characters to bytes for the one, bytes of the text without the added space for the other.
-    points = np.frombuffer(full.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
-    spans = np.array(a.offsets, dtype=np.int64).reshape(-1, 2)
-    a_ends = refined(at[spans[:, 0]], at[spans[:, 1]], np.array([len(a_bytes[i]) for i in a_ids], dtype=np.int64))
-    starts = np.array([p.begin for p in b], dtype=np.int64) + 1
+    a_ids = np.array(a.ids, dtype=np.int64)
+    spans = np.fromiter(chain.from_iterable(a.offsets), dtype=np.int64, count=2 * len(a_ids)).reshape(-1, 2)
+    if len(data) > len(full):
+        points = np.frombuffer(full.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        spans = at[spans]
+    a_ends = refined(spans[:, 0], spans[:, 1], a_sizes[a_ids])
+    lines = np.fromiter(chain.from_iterable(b), dtype=np.int64, count=3 * len(b)).reshape(-1, 3)
+    starts = lines[:, 1] + 1
     starts[0] = 0
-    b_ends = refined(starts, np.array([p.end for p in b], dtype=np.int64) + 1, np.array([len(b_bytes[i]) for i in b_ids], dtype=np.int64))
-    return a_ids, a_ends, b_ids, b_ends
+    b_ends = refined(starts, lines[:, 2] + 1, b_sizes[lines[:, 0]])
+    return a_ids, a_ends, lines[:, 0], b_ends
 
 
-def align(a_ids: list[int], a_ends: np.ndarray, b_ids: list[int], b_ends: np.ndarray):
-    """Links (places in a and b), where the groups end, and the text of each group."""
+def align(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray):
+    """Links (places in a and b), the bytes at which groups end, the text of all groups and where each ends in it.
+
+    Every id of a group's text is followed by a comma, bar or semicolon, which
+    ends its group; a group reaches to before its semicolon.
+    """
     a_starts, b_starts = np.concatenate([[0], a_ends[:-1]]), np.concatenate([[0], b_ends[:-1]])
     first = np.searchsorted(b_ends, a_starts, "right")
     many = np.searchsorted(b_starts, a_ends, "left") - first
     left = np.repeat(np.arange(len(a_ids)), many)
     right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-    common = np.intersect1d(a_ends, b_ends)
-    a_cut = np.searchsorted(a_ends, common, "right").tolist()
-    b_cut = np.searchsorted(b_ends, common, "right").tolist()
-    a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
-    groups, i, j = [], 0, 0
-    for to_a, to_b in zip(a_cut, b_cut):
-        groups.append(",".join(a_text[i:to_a]) + "|" + ",".join(b_text[j:to_b]))
-        i, j = to_a, to_b
-    return left, right, common, groups
+    places = np.searchsorted(b_ends, a_ends)
+    common = a_ends[b_ends[np.minimum(places, len(b_ends) - 1)] == a_ends]
+    # All ids in the order of group, tokenizer and place; a group's side ends where the next id is of another.
+    sides = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+    order = np.argsort(sides, kind="stable")
+    ids, sides = np.concatenate([a_ids, b_ids])[order], sides[order]
+    ends = np.append(sides[1:] != sides[:-1], True)
+    mark = np.where(ends, 1 + (sides & 1), 0)
+    signed = _written(1 << int(ids.max()).bit_length())
+    text = "".join(map(signed.__getitem__, (3 * ids + mark).tolist())).encode()
+    reach = np.cumsum(1 + np.searchsorted(_TENS, ids, "right"))
+    return left, right, common, text, reach[mark == 2]
+
+
+#: A number has one digit more from each of these on (and one at least).
+_TENS = np.array([0, *(10**i for i in range(1, 10))])
+
+
+@lru_cache(maxsize=4)
+def _written(most: int) -> list[str]:
+    """An id below `most` with the sign behind it, at 3 * id + sign."""
+    return [f"{i}{sign}" for i in range(most) for sign in ",|;"]
 
 
 class Units:
@@ -127,57 +148,52 @@ class Units:
     its groups, tokens of the first. None for a unit that is not given back.
     """
 
-    def __init__(self, a_path: str, b_path: str, limit: int = 400_000):
+    def __init__(self, a_path: str, b_path: str, limit: int = 1_200_000):
         self.paths, self.known = (a_path, b_path), Memo(limit)
-        self.apart = second_tokenizer(b_path)[2]
-
-    def record(self, found):
-        if found is None:
-            return None
-        a_ids, a_ends, b_ids, b_ends = found
-        left, right, _, groups = align(a_ids, a_ends, b_ids, b_ends)
-        codes = np.array(a_ids, dtype="<u8")[left] << np.uint64(32) | np.array(b_ids, dtype="<u8")[right]
-        return codes.tobytes(), ";".join(groups).encode(), len(a_ids)
+        self.apart = second_tokenizer(b_path)[3]
 
     def alone(self, unit: str):
-        return self.record(token_ends(*self.paths, unit)) if unit else None
+        return self.together([unit])[0] if unit else None
 
     def together(self, units: list[str]):
-        """Records of units that neither begin nor end with white space, from one call."""
+        """Records of units from one call; where that gives no cut between all of them, from two, down to single ones."""
         found = token_ends(*self.paths, " ".join(units))
-        if found is None:
-            return [self.alone(u) for u in units]
-        a_ids, a_ends, b_ids, b_ends = found
-        bounds = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in units])
-        left, right, common, groups = align(a_ids, a_ends, b_ids, b_ends)
-        place = np.searchsorted(common, bounds)
-        if place[-1] >= len(common) or (common[place] != bounds).any():
-            return [self.alone(u) for u in units]
-        codes = (np.array(a_ids, dtype="<u8")[left] << np.uint64(32) | np.array(b_ids, dtype="<u8")[right]).tobytes()
-        a_cut = np.searchsorted(a_ends, bounds, "right")
-        cut = np.searchsorted(left, a_cut).tolist()
-        out, link, group, token = [], 0, 0, 0
-        for to_link, to_group, to_token in zip(cut, (place + 1).tolist(), a_cut.tolist()):
-            out.append((codes[8 * link : 8 * to_link], ";".join(groups[group:to_group]).encode(), to_token - token))
-            link, group, token = to_link, to_group, to_token
-        return out
+        if found is not None:
+            a_ids, a_ends, b_ids, b_ends = found
+            left, right, common, text, reach = align(a_ids, a_ends, b_ids, b_ends)
+            bounds = np.cumsum([(len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass"))) + 1 for u in units])
+            place = np.searchsorted(common, bounds)
+            if place[-1] < len(common) and (common[place] == bounds).all():
+                codes = (a_ids[left].astype("<u8") << np.uint64(32) | b_ids[right].astype("<u8")).tobytes()
+                tokens = np.searchsorted(a_ends, bounds, "right")
+                links = 8 * np.searchsorted(left, tokens)
+                out, link, char = [], 0, 0
+                for to_link, to_char, many in zip(links.tolist(), reach[place].tolist(), np.diff(tokens, prepend=0).tolist()):
+                    out.append((codes[link:to_link], text[char : to_char - 1], many))
+                    link, char = to_link, to_char
+                return out
+        half = len(units) // 2
+        return self.together(units[:half]) + self.together(units[half:]) if half else [None]
 
     def learn(self, units: set[str]) -> dict:
-        self.known.claim().make_room(len(units))
-        new = [u for u in units if u not in self.known]
+        known = self.known.claim()
+        new = known.missing(units)
         plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
         for at in range(0, len(plain), _CALL):
             some = plain[at : at + _CALL]
-            self.known.update(zip(some, self.together(some)))
+            known.update(zip(some, self.together(some)))
         for u in new:
-            if u not in self.known:
-                self.known[u] = self.alone(u)
-        return self.known
+            if u not in known:
+                known[u] = self.alone(u)
+        return known
 
     def split(self, text: str) -> list[str]:
         if not self.apart:
             return [text]
-        if not _ODD_SPACE.search(text):
+        words = text.split()
+        gaps = len(words) - 1
+        # One space or line end between each two words, nothing before, behind or beside them.
+        if text.count(" ") + text.count("\n") == gaps == len(text) - sum(map(len, words)):
             return text.split(" ")
         head, *rest = _BEFORE_UNIT.split(text)
         return [head, *(u[1:] for u in rest)]

@@ -23,8 +23,8 @@ def plain(files, text):
     """Links and groups of one text from the tokens' bytes alone; None without tokens."""
     if not text:
         return None
-    a_tok, a_bytes = alignment.first_tokenizer(files[0])
-    b_tok, b_bytes, _ = alignment.second_tokenizer(files[1])
+    a_tok, a_bytes = alignment.first_tokenizer(files[0])[:2]
+    b_tok, b_bytes = alignment.second_tokenizer(files[1])[:2]
     a, b = a_tok.encode(" " + text, add_special_tokens=False).ids, b_tok.encode(text)
     data = (" " + text).encode()
     if b"".join(a_bytes[i] for i in a) != data or b"".join(b_bytes[i] for i in b) != data:
@@ -80,7 +80,7 @@ def test_given_documents(spark, files):
     assert sorted(map(repr, map(tuple, got.collect()))) == plain_rows(files, rows)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab é\n\t.'s1中\U0001F9EC▁  é<|>")), max_size=40))
 def test_units_say_what_the_whole_text_does(files, text):
     table, want = alignment.Units(*files), plain(files, text)
