@@ -19,6 +19,8 @@ ORDERS = (3, 4)
 FULL = 256
 #: Bytes that are looked at together.
 PIECE = 1 << 20
+#: Tasks that add up n-grams of the sample: a language's profile is put together from so many.
+TASKS = 16
 UNDETERMINED = "und"
 
 # ASCII that is no letter separates words; bytes of other characters stay.
@@ -219,7 +221,7 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
         .select("lang", "text", (F.pmod(F.shiftright("mark", 20), F.lit(4)) == 0).alias("aside"))
     )
     profiles = (
-        chosen.filter("not aside").select("lang", "text").mapInArrow(_profiles, "lang string, profile binary")
+        chosen.filter("not aside").select("lang", "text").coalesce(TASKS).mapInArrow(_profiles, "lang string, profile binary")
         .groupBy("lang").applyInArrow(_added, "lang string, profile binary").orderBy("lang").collect()
     )
     languages = [r.lang for r in profiles]
