@@ -852,6 +852,10 @@ Q["station_summary"] = f"""select count(*) as total_machines,
   (select {r('avg(quality_pct)', 1)} from recent_oee where age = 0) as avg_quality from fleet"""
 Q["incident_triage"] = """select i.*, work_order_id, w.status as wo_status
   from incidents i left join work_orders w on w.incident_id = i.incident_id"""
+Q["clean_readings_stored"] = "select * from clean"
+Q["machine_detail_one"] = "select * from fleet where machine_id = 'M007'"
+Q["incident_triage_filtered"] = f"""select * from ({Q["incident_triage"]}) where severity in ('CRITICAL', 'HIGH') and status = 'NEW'
+  order by priority_score desc, incident_id, work_order_id nulls last limit 10"""
 Q["sensor_trend"] = "select machine_id, signal_type, hour_bucket, avg_value, rolling_24h_avg from features"
 Q["active_forecasts"] = f"""select machine_id, signal_type, predicted_failure_mode, risk_horizon,
   estimated_days_to_threshold, confidence_level, trend_slope_7d from forecasts where {PREDICTED}"""
@@ -897,6 +901,8 @@ Q["maintenance_log"] = """select maintenance_id, machine_id, machine_name, machi
   root_cause, action_taken, parts_replaced, repair_duration_hrs, downtime_hrs,
   cast(cost as double) as cost, maintenance_type, completed_at
   from history join machines using (machine_id)"""
+Q["maintenance_log_newest"] = f"""{Q["maintenance_log"]}
+  order by completed_at desc nulls first, maintenance_id desc limit 50"""
 Q["work_order_queue"] = f"""select work_order_id, w.incident_id, w.machine_id, w.status, priority,
   problem_description, predicted_failure_mode, recommended_actions, evidence_narrative,
   health_score as incident_health_score, {place('w.status', rules.ORDER_STAGES, 5)} as stage_rank
@@ -952,6 +958,8 @@ Q["row_counts"] = "select tbl, rows_ct, rows_ct >= 1 as passed from (" + " union
 ) + ")"
 Q["priority_list"] = """select incident_id, machine_id, severity, priority_score, health_score, criticality,
   production_impact, rul_days, confidence_level from incidents"""
+Q["priority_check"] = """select incident_id, priority_score,
+  priority_score between 0 and 100 and criticality is not null as passed from incidents"""
 Q["oee_check"] = f"""select *, coalesce(avg_oee > 0, false) as passed
   from (select machine_id, machine_name, {r('avg(oee_pct)', 1)} as avg_oee,
           {r('avg(availability_pct)', 1)} as avg_avail, {r('avg(quality_pct)', 1)} as avg_quality

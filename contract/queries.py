@@ -48,6 +48,15 @@ def clean_readings(p):
     return p.clean
 
 
+@query()
+def clean_readings_stored(p):
+    """The same from readings that were written by day and read back with their declared types."""
+    spark = p.machines.sparkSession
+    path = fresh_folder(spark, "stored")
+    store.write_readings(p.readings, f"{path}/sensor_readings")
+    return readings.clean_readings(store.StoredTables(spark, path).sensor_readings(), p.sensors)
+
+
 @query("clean_readings_sliced", history={"hot_rows": 40, "slice_rows": 16})
 def clean_readings_sliced(p):
     """The same table with every sensor treated as a hot one."""
@@ -573,6 +582,26 @@ def machine_detail(p):
     return reports.machine_detail(p.fleet)
 
 
+@query(shared=True)
+def machine_detail_one(p):
+    """The report of one machine."""
+    return reports.machine_detail(p.fleet, machine_id="M007")
+
+
+@query(shared=True)
+def incident_triage_filtered(p):
+    """The ten most urgent new incidents of the upper severities."""
+    return reports.incident_triage(
+        p.incidents, p.work_orders, severities=["CRITICAL", "HIGH"], statuses=["NEW"], limit=10
+    ).drop("evidence_json")
+
+
+@query()
+def maintenance_log_newest(p):
+    """The fifty newest records of the log."""
+    return reports.maintenance_log(p.history, p.machines, limit=50).withColumn("cost", F.col("cost").cast("double"))
+
+
 @query()
 def sensor_trend(p):
     return reports.sensor_trend(p.features)
@@ -706,6 +735,11 @@ def priority_list(p):
     return reports.priority_list(p.incidents)
 
 
+@query(shared=True)
+def priority_check(p):
+    return checks.priority_check(p.incidents)
+
+
 @query()
 def oee_check(p):
     return checks.oee_check(p.oee)
