@@ -7,7 +7,6 @@ counts of a fixed size comes to the driver, where the trees are grown.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -32,14 +31,15 @@ WIDE = {
     "card": r"[0-9]{4}(?:[\x20._/-]{0,2}[0-9]{2,6}){2,5}",
     "phone": r"\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]{1,2}[0-9]{4}",
 }
-#: What must be in a text for a pattern to be tried.
-NEEDS = {"email": r"@|[(\[\x20]at[)\]\x20]", "ip": r"[0-9]\.|\[\.\]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"[0-9]{2}"}
+#: What must be in a text for a pattern to be tried: a part of every match.
+BASE_NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+WIDE_NEEDS = {"email": r"[(\[\x20]at[)\]\x20]", "ip": r"[0-9](?:\.|\[\.\])[0-9]", "card": r"[0-9]{4}", "phone": r"[0-9]{4}"}
 CUES = r"(?i)(?:e-?mail|contact|mail|tel|phone|call|fax|mobile|card|visa|account|ip|host|server|address)[^A-Za-z0-9]*$"
 CONTEXT = 24
 #: A date at the beginning of a candidate for a card.
 DATED = r"^(?:19|20)[0-9]{2}[\x20._/-]{0,2}(?:0[1-9]|1[0-2])[\x20._/-]{0,2}(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 #: Numbers of values of the features, which bound the table the trees are grown from.
-LEVELS = {"kind": 4, "digits": 7, "groups": 4, "before": 4, "after": 4, "cue": 2, "length": 5, "sound": 2}
+LEVELS = {"kind": 4, "digits": 7, "groups": 4, "before": 4, "after": 4, "cue": 2, "length": 5}
 
 
 def running(lengths: Column) -> Column:
@@ -96,12 +96,12 @@ def sound(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
-    tried = text.rlike(NEEDS[kind])
+def _matches(text: Column, pattern: str, needs: str) -> Column:
+    tried = text.rlike(needs)
     return F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def _located(docs: DataFrame, kind: str, pattern: str, name: str) -> DataFrame:
+def _located(docs: DataFrame, kind: str, pattern: str, needs: str, name: str) -> DataFrame:
     """An array column of (start, end, text, before, after, sound) of all matches of a pattern.
 
     The pieces between matches are what splitting leaves, so the lengths of both
@@ -109,7 +109,7 @@ def _located(docs: DataFrame, kind: str, pattern: str, name: str) -> DataFrame:
     """
     found, between, starts = f"_{name}_m", f"_{name}_s", f"_{name}_p"
     text = F.col("_text")
-    docs = docs.withColumn(found, _matches(text, kind, pattern))
+    docs = docs.withColumn(found, _matches(text, pattern, needs))
     docs = docs.withColumn(between, F.when(F.size(found) > 0, F.split(text, pattern, -1)))
     docs = docs.withColumn(
         starts,
@@ -158,7 +158,6 @@ def traits(kind: str, c: Column) -> dict[str, Column]:
         "after": _side(c["after"]),
         "cue": c["before"].rlike(CUES).cast("int"),
         "length": _band(F.length(found), 8, 12, 16, 24),
-        "sound": c["sound"].cast("int"),
     }
 
 
@@ -228,13 +227,12 @@ def _grow(rows: list[tuple[dict, float, float]], depth: int, ridge: float = 1.0)
 
 def boost(
     table: list[tuple[dict[str, int], int, int]], rounds: int = 20, depth: int = 3, rate: float = 0.4, precision: float = 0.95,
-    applied: Callable[[dict[str, int]], bool] = lambda row: True,
 ) -> SpanModel:
     """Gradient boosting on counts: rows of traits, how many with them are personal data, and how many are not.
 
-    A kind's threshold is the least score from which on its known candidates, of
-    those that the threshold is `applied` to, are personal data in `precision` of
-    cases (smoothed); without such a score the kind gets none.
+    A kind's threshold is the least score from which on its known candidates are
+    personal data in `precision` of cases (smoothed); without such a score the kind
+    gets none.
     """
     if not table:
         return SpanModel()
@@ -250,7 +248,7 @@ def boost(
         scores = [s + trees[-1].score(row) for (row, _, _), s in zip(table, scores)]
     thresholds = {}
     for i, kind in enumerate(KINDS):
-        ranked = sorted(((s, yes, no) for (row, yes, no), s in zip(table, scores) if row["kind"] == i and applied(row)), reverse=True)
+        ranked = sorted(((s, yes, no) for (row, yes, no), s in zip(table, scores) if row["kind"] == i), reverse=True)
         good = bad = 0
         for s, yes, no in ranked:
             good, bad = good + yes, bad + no
@@ -268,31 +266,38 @@ def _scaled(tree: Tree, rate: float) -> Tree:
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Columns base_<kind> and wide_<kind> with the matches of both patterns; expects the text in _text."""
     for kind in KINDS:
-        docs = _located(docs, kind, BASE[kind], f"base_{kind}")
-        docs = _located(docs, kind, WIDE[kind], f"wide_{kind}")
+        docs = _located(docs, kind, BASE[kind], BASE_NEEDS[kind], f"base_{kind}")
+        docs = _located(docs, kind, WIDE[kind], WIDE_NEEDS[kind], f"wide_{kind}")
     return docs
 
 
 def train(docs: DataFrame) -> SpanModel:
-    """A model from all documents: candidates of the base patterns, personal data if they pass the check of their kind.
-
-    Not so if they are refuted by where they stand. Of the generators' further
-    candidates, those that pass and are refuted are counted as no personal data; the
-    others are unlabelled and take no part. Thresholds are calibrated on what passes
-    the check, as only that is offered. Only counts by traits come to the driver: at
-    most the product of LEVELS rows, whatever the size of the data.
+    """A model from all documents, of candidates that pass the check of their kind.
+
+    Labels come from the base patterns, which the trees do not see: a candidate
+    of either generator is personal data if it lies on a base match of its kind
+    that passes the check, and is not if it lies on one of another kind or on a
+    base match that fails. What lies on neither is unlabelled and takes no part;
+    it is what the model is asked about. The trees see format and context alone,
+    the check is a filter before and after training. Only counts by traits come
+    to the driver: at most the product of LEVELS rows, whatever the size of the data.
     """
     named = docs.select(whole_text().alias("_text")).filter(F.col("_text").rlike("[0-9]|@"))
     named = with_candidates(named)
 
+    def on(c: Column, kind: str, passing: bool) -> Column:
+        return F.exists(
+            f"base_{kind}", lambda b: (b["sound"] == F.lit(passing)) & (b["start"] < c["end"]) & (c["start"] < b["end"])
+        )
+
     def described(kind: str) -> Column:
         def counted(c, yes):
             return F.struct(*(v.cast("int").alias(n) for n, v in traits(kind, c).items()), yes.alias("yes"))
 
-        base = F.transform(f"base_{kind}", lambda c: counted(c, c["sound"] & ~refuted(kind, c)))
-        apart = lambda c: ~F.exists(f"base_{kind}", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        wide = F.filter(f"wide_{kind}", lambda c: c["sound"] & refuted(kind, c) & apart(c))
-        return F.concat(base, F.transform(wide, lambda c: counted(c, F.lit(False))))
+        own = F.transform(F.filter(f"base_{kind}", lambda c: c["sound"]), lambda c: counted(c, F.lit(True)))
+        other = lambda c: reduce(lambda a, b: a | b, [on(c, k, True) for k in KINDS if k != kind], on(c, kind, False))
+        known = F.filter(f"wide_{kind}", lambda c: c["sound"] & (on(c, kind, True) | other(c)))
+        return F.concat(own, F.transform(known, lambda c: counted(c, on(c, kind, True))))
 
     every = F.concat(*map(described, KINDS))
     counts = (
@@ -300,7 +305,7 @@ def train(docs: DataFrame) -> SpanModel:
         .agg(F.sum(F.col("c.yes").cast("long")).alias("yes"), F.count("*").alias("all")).collect()
     )
     rows = [({n: r[n] for n in LEVELS}, r.yes, r["all"] - r.yes) for r in counts]
-    return boost(sorted(rows, key=lambda r: tuple(r[0].values())), applied=lambda row: row["sound"] == 1)
+    return boost(sorted(rows, key=lambda r: tuple(r[0].values())))
 
 
 def _listed(spans: Column) -> Column:
@@ -331,7 +336,7 @@ def with_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
 
     def scored(source: str, kind: str, score) -> Column:
         return F.transform(
-            F.filter(f"{source}_{kind}", lambda c: c["sound"]),
+            F.filter(f"{source}_{kind}", lambda c: c["sound"] & ~refuted(kind, c) if source == "wide" else c["sound"]),
             lambda c: F.struct(
                 c["start"].alias("start"), c["end"].alias("end"), F.lit(KINDS.index(kind)).alias("order"),
                 score(c).alias("score"),

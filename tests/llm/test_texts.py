@@ -114,9 +114,31 @@ TRICKY = [
     (103, "1.2.3 4.5.6.7 256.1.1.1 1.1.1.99999999999999999999 +12 +123456789012345678 5500005555555559"),
     (104, "1 " * 30_000), (105, "1.1." * 20_000), (106, "a.b@" * 10_000 + "c.d"), (107, "x@y.z " * 3_000),
     (108, "call (755) 555-3798 or jo (at) mail (dot) org"),
+    (109, "call +1 2 3 4 5 6 7 8 9 0 now"), (110, "x +1-2-3-4-5-6-7-8-9-0-1"), (111, "1.2.3.4 +1(2)3(4)5(6)7(8)9(0)"),
+    (112, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
 ]
 
 
+def scattered(seed):
+    """Digits, separators and what makes the kinds, at random."""
+    import random
+
+    rng = random.Random(seed)
+    return "".join(rng.choice(["0", "1", "7", "9", "255", " ", " ", "-", ".", "+", "(", ")", "@", "a", "b.c", "\n", "é"]) for _ in range(400))
+
+
+TRICKY += [(2000 + i, scattered(i)) for i in range(150)]
+
+
+@pytest.mark.parametrize("patterns, needs", [(personal.BASE, personal.BASE_NEEDS), (personal.WIDE, personal.WIDE_NEEDS)])
+def test_every_match_holds_what_its_pattern_needs(patterns, needs):
+    texts = [scattered(i) for i in range(300)] + [t for _, t in TRICKY if len(t) < 5000]
+    texts += ["jo (at) mail (dot) org", "jo[at]x.y", "jo at mail dot org", "1[.]2[.]3[.]4", "5500/0055/5555/5559 12345678901234"]
+    for kind, pattern in patterns.items():
+        found = [m[0] for t in texts for m in re.finditer(pattern, t)]
+        assert found and all(re.search(needs[kind], f) for f in found)
+
+
 @pytest.fixture(scope="module")
 def private(spark, docs):
     return docs.select("doc_id", "text").unionByName(spark.createDataFrame(TRICKY, "doc_id long, text string"))
@@ -161,6 +183,23 @@ def test_boosting_learns_format():
     assert set(model.thresholds) == {"card"} and personal.boost([]) == personal.SpanModel()
 
 
+def test_trees_use_format_and_context(spark):
+    """Numbers like phones, some of them within addresses of hosts: the places of dots and what stands around tell them apart."""
+    rows = []
+    for i in range(60):
+        rows.append((3 * i, f"call +1 (755) 555-{1000 + i} or (755) 555-{1000 + i}"))
+        rows.append((3 * i + 1, f"card 4111 1111 1111 1111 of {i}"))
+        rows.append((3 * i + 2, f"mail a{i}@b.org from 10.0.0.{i}"))
+    model = personal.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def used(tree):
+        return {tree.feature} | used(tree.low) | used(tree.high) if tree.feature else set()
+
+    assert len(set().union(*map(used, model.trees))) >= 2 and len(set(model.thresholds.values())) >= 2
+    found = personal.personal_data(spark.createDataFrame([(1, "or (755) 555-2000 then")], "doc_id long, text string"), model).first()
+    assert found.spans == "phone:3:17" and found.n_added == 1 and found.n_phone == 0
+
+
 def test_generators_add_spans(spark):
     """With a model that takes everything, spelled-out addresses and national numbers are added, base spans stay."""
     model = personal.SpanModel(trees=(), thresholds={k: 0.0 for k in personal.KINDS})
@@ -282,3 +321,41 @@ def test_one_row_follows_itself(spark, no_docs):
     row = fingerprints.fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and row.near_next == 1.0
     assert fingerprints.fingerprints(no_docs).collect() == []
+
+
+# --- pages that are not well made -------------------------------------------------
+
+@pytest.mark.parametrize("page, want", [
+    ("<p it's>Hello world don't go</p>", ["Hello world don't go"]),
+    ("<p>one</p><!--><p>two</p><!---><p>three</p>", ["one", "two", "three"]),
+    ("<p title='a>b' x=\"c>d\">q</p>", ["q"]), ("<p>x</p><!-- c --><p>y</p><!-- open <p>z</p>", ["x", "y"]),
+    ("a<b c", ["a<b c"]), ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ("<p>a<p>b<div>c", ["a", "b", "c"]),
+    ("<script>x</script foo><p>after</p>", ["after"]), ("</div></b><p>x</i></p>y", ["x", "y"]),
+])
+def test_malformed_markup_keeps_its_text(page, want):
+    assert [text for _, _, text in extraction.blocks(page)] == want
+
+
+def test_one_word_of_a_name_is_not_enough():
+    """Names that could mean anything are left to the tree; boxes of noise go at once."""
+    kept = ["market-share", "popular-science", "post-header", "search-for-life", "AdaLovelace", "commentary"]
+    gone = ["ad", "related-posts", "comment-list", "share_buttons", "siteFooter", "newsletter box"]
+    page = "<article>" + "".join(f'<div class="{c}" id="x{i}"><p>text {c}</p></div>' for i, c in enumerate(kept + gone)) + "</article>"
+    assert [text for _, _, text in extraction.blocks(page)] == [f"text {c}" for c in kept]
+
+
+HOSTILE = [
+    "<a ", "<a b='", "<", "<!--", "<div>", "<div>x</span>", "<b>", "<li>x<div>", "<dt>x<b>", "<td>x", "<p>a < b ", "<a b=\"x' c='y\">z</a>",
+    "<a b='\"><a c=\"'>", "<script>", "</div>", "<b><p>", "<ul><li><i>", "&amp;", "<a b='x>",
+]
+
+
+def test_a_hostile_page_takes_time_by_its_length():
+    import time
+
+    for unit in HOSTILE:
+        for tail in ("", ">", "'>", "\">x</p>"):
+            page = unit * (250_000 // len(unit)) + tail
+            began = time.process_time()
+            extraction.page_blocks(page)
+            assert time.process_time() - began < 4, (unit, tail)
