@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.llm.common import parts, settled, ship, text_bytes, unlisted, whole_text
 from plantpulse.llm.graph import components, local_components, merged
+from plantpulse.llm.manifest import ranked
 from plantpulse.llm.memo import Memo
 
 #: Elements that a signature should hold on average at least, so that unrelated sets seldom share one.
@@ -610,18 +611,22 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents, all columns, without those that are near copies of one with a smaller id.
 
-    The document whose id is its group's component_id stays. Rows that repeat an id
-    are one document: where the table has such ids, the least of their rows by size
-    and text stays. Documents without an id cannot be told apart and stay.
+    The document whose id is its group's component_id stays. Where ids stand more
+    than once, rows are told apart by their texts: every row is a document, of
+    equal ids the shorter text (then the text that is first) counts as the
+    smaller, and of rows equal in id and text one stays. Documents without an id
+    cannot be told apart and stay.
     """
-    groups = settled(jaccard_components(docs, words, num, den).select("doc_id", "component_id"))
-    kept = unlisted(docs, groups.filter("component_id < doc_id").select("doc_id").distinct())
-    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     if again.isEmpty():
-        return kept
-    own = "_least"
-    while own in docs.columns:
-        own = "_" + own
-    order = Window.partitionBy("doc_id").orderBy(F.length(whole_text()), whole_text())
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn(own, F.row_number().over(order)).filter(F.col(own) == 1)
-    return unlisted(kept, again).unionByName(repeated.drop(own))
+        groups = settled(jaccard_components(docs, words, num, den).select("doc_id", "component_id"))
+        return unlisted(docs, groups.filter("component_id < doc_id").select("doc_id"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.filter("doc_id is not null").select(
+        F.lit("").alias("tree"), "doc_id", F.length(whole_text()).alias("n"), whole_text().alias("text"), whole
+    )
+    numbered = settled(ranked(rows, ["doc_id", "n", "text"]))
+    groups = jaccard_components(numbered.select(F.col("rank").alias("doc_id"), "text"), words, num, den)
+    copies = settled(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("rank")))
+    kept = unlisted(numbered, copies, "rank").dropDuplicates(["doc_id", "text"]).select("row.*")
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -94,6 +94,17 @@ def test_one_document_of_each_group(docs, no_docs, texts):
     assert jaccard_join.one_of_each(no_docs).collect() == []
 
 
+def test_unique_texts_under_one_id_stay(spark):
+    """An id that stands three times: a near copy of a smaller id goes, a repeated row goes, unique texts stay."""
+    other = " ".join(f"tree{i}" for i in range(40))
+    first = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, first), (2, first + " more"), (2, other), (2, other), (2, "short and unique"), (3, ""), (3, ""), (None, first), (4, other + " x")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(
+        [(1, first), (2, other), (2, "short and unique"), (3, ""), (None, first)], key=str
+    )
+
+
 @pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
 def test_similar_sets_share_a_signature(num, den):
     """At the very limit of similarity, for many sizes: the promise of the partition."""
