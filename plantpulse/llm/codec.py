@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -43,28 +46,88 @@ def windows(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[start:]
 
 
+_CUT = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
+
+
+@contextmanager
+def uncollected():
+    """Without the collector of cycles, which would go through hundreds of thousands of short lists again and again."""
+    active = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if active:
+            gc.enable()
+
+
+@lru_cache(maxsize=4)
+def parted(path: str) -> tuple[bytes, ...] | None:
+    """The added tokens of a tokenizer that cuts between ASCII letters and other ASCII signs; None if it does not.
+
+    The apostrophe is left out: some tokenizers keep it with the letters behind
+    it. Nor may letters of the other case give other ids. A word is then as good
+    as its parts, unless an added token stands in it.
+    """
+    tok = tokenizer(path)
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'"]
+
+    def ids(text: str) -> list[int]:
+        return tok.encode(text, add_special_tokens=False).ids
+
+    apart = all(ids(f"ab{c}ab") == [*ids("ab"), *ids(c), *ids("ab")] and ids(f"AB{c}") == ids(f"ab{c}") for c in signs)
+    return tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values()) if apart else None
+
+
+@uncollected()
 def encode_words(path: str, words: list[bytes]) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit numbers.
 
-    For tokenizers that drop white space and never join over it: many words go
-    through one call, and the tokens' places in the text say whose they are.
+    For tokenizers that drop white space and never join over it. Where the
+    tokenizer cuts within words too, their parts are encoded, each once for all
+    the words and calls that hold it.
     """
+    added = parted(path)
+    if added is None:
+        return _encoded(path, words)
+    text = b"\n".join(words)  # words hold no white space
+    if b"\0" in text or any(t in text for t in added):
+        cut = [b"\0" not in w and not any(t in w for t in added) for w in words]
+        whole = iter(_encoded(path, [w for w, fine in zip(words, cut) if not fine]))
+        rest = iter(encode_words(path, [w for w, fine in zip(words, cut) if fine]))
+        return [next(rest if fine else whole) for fine in cut]
+    marked = _CUT.sub(b"\0", text)
+    marked = [m.lower() if m.isascii() else m for m in marked.split(b"\n")] if words else []
+    split = [m.split(b"\0") for m in marked]
+    known = _parts(path)
+    new = known.missing(chain.from_iterable(split))
+    known.update(zip(new, _encoded(path, new)))
+    return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in split]
+
+
+@lru_cache(maxsize=4)
+def _parts(path: str) -> Memo:
+    return Memo(300_000)
+
+
+def _encoded(path: str, words: list[bytes]) -> list[bytes]:
+    """Many words go through one call, and the tokens' places in the text say whose they are."""
     tok = tokenizer(path)
     out: list[bytes] = []
     for at in range(0, len(words), _CALL):
         texts = [w.decode("utf-8", "replace") for w in words[at : at + _CALL]]
-        alone = [bool(t) and ord(max(t)) >= _COMBINING for t in texts]
+        alone = [not t.isascii() and ord(max(t)) >= _COMBINING for t in texts]
         joined = [t for t, odd in zip(texts, alone) if not odd]
         found: list[bytes] = []
         if joined:
             got = tok.encode(" ".join(joined), add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4")
-            first = np.array([a for a, _ in got.offsets], dtype=np.int64)
+            first = np.fromiter(chain.from_iterable(got.offsets), dtype=np.int64, count=2 * len(ids))[::2]
             starts = np.zeros(len(joined) + 1, dtype=np.int64)
-            np.cumsum([len(t) + 1 for t in joined], out=starts[1:])
-            cut = np.searchsorted(first, starts).tolist()
+            np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)) + 1, out=starts[1:])
+            cut = (4 * np.searchsorted(first, starts)).tolist()
             raw = ids.tobytes()
-            found = [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]
+            found = [raw[a:b] for a, b in zip(cut, cut[1:])]
         together = iter(found)
         out += [
             np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if odd else next(together)
@@ -74,15 +137,13 @@ def encode_words(path: str, words: list[bytes]) -> list[bytes]:
 
 
 class WordIds:
-    """Ids of words seen lately; at most `limit` are kept, then it starts anew."""
+    """Ids of words seen lately; at most `limit` are kept, then those not asked for again go."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_600_000):
         self.path, self.known = path, Memo(limit)
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        words = set(words)
-        self.known.claim().make_room(len(words))
-        new = list(words - self.known.keys())
+        new = self.known.claim().missing(words)
         self.known.update(zip(new, encode_words(self.path, new)))
         return self.known
 
@@ -94,7 +155,7 @@ class WordIds:
         return b"".join(done)
 
     def of_texts(self, texts: list[str], together: int = 1 << 21) -> Iterator[bytes]:
-        """The same for many texts; short ones are learned together."""
+        """The same for many texts; short ones are learned together, and equal ones in a row joined once."""
         at = 0
         while at < len(texts):
             size, end = len(texts[at]), at + 1
@@ -104,9 +165,12 @@ class WordIds:
                 yield self.of_text(texts[at])
             else:
                 split = [t.encode("utf-8", "replace").split() for t in texts[at:end]]
-                known = self.learn(set().union(*split))
-                for words in split:
-                    yield b"".join(map(known.__getitem__, words))
+                known = self.learn(chain.from_iterable(split))
+                done: dict[str, bytes] = {}
+                for text, words in zip(texts[at:end], split):
+                    if text not in done:
+                        done[text] = b"".join(map(known.__getitem__, words))
+                    yield done[text]
             at = end
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import filterfalse
+
 
 class Memo(dict):
     """A table of at most `limit` entries that starts anew when full.
@@ -26,12 +29,12 @@ class Memo(dict):
             Memo.holder = self
         return self
 
-    def missing(self, keys: set) -> list:
-        """The keys that are not known; the others are all in the table afterwards."""
-        if len(self) + len(keys) > self.limit // 2:
+    def missing(self, keys: Iterable) -> list:
+        """The keys that are not known, each once; the others are all in the table afterwards."""
+        if len(self) > self.limit // 2:
             self.older = dict(self)
             self.clear()
-        new = keys - self.keys()
+        new = set(filterfalse(self.__contains__, keys))
         if self.older:
             back = new & self.older.keys()
             self.update((k, self.older[k]) for k in back)
