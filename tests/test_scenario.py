@@ -193,7 +193,7 @@ def test_stored_datasets_are_read_back(plan, tmp_path, plan_of):
     assert sorted(map(str, reader.fleet.collect())) == want
     files = len(reader.features.inputFiles())
     recent = reader.recent_features(hours=24)
-    assert files >= 30 and len(recent.inputFiles()) == 2
+    assert files >= 30 and len(recent.inputFiles()) == 1  # the last day has no rows yet
     assert "part" in plan_of(recent) and "PartitionFilters: [isnotnull(part" in plan_of(recent)
     assert reader.features_table.step().mark == NOW - timedelta(hours=1)
     before = reader.features_table.step().number
