@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse.functions import epoch_seconds
+from plantpulse.operators.durable import durable
 
 HOT_ROWS = 8_000_000
 SLICE_ROWS = 1_000_000
@@ -51,20 +52,22 @@ def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int
     before = F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     slices = counted.withColumn("_slice", F.floor(before / each))
     starts = slices.withColumn("_starts", F.col("_slice") > F.coalesce(F.lag("_slice").over(by_time), F.lit(0)))
-    return starts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_starts"), F.col("_from")))).alias("_cuts"))
+    return durable(starts.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("_starts"), F.col("_from")))).alias("_cuts")))
 
 
-def slice_of(ts: str) -> Column:
-    """How many cuts are at or before a time, found in steps of about the root of their number."""
-    second, cuts = epoch_seconds(F.col(ts)), F.col("_cuts")
-    step = F.ceil(F.sqrt(F.size(cuts))).cast("int")
-    marks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / step).cast("int")), lambda j: F.get(cuts, j * step))
-    starts = F.size(F.filter(marks, lambda c: c <= second))
-    fine = F.slice(cuts, (starts - 1) * step + 1, step)
-    return F.when(
-        (F.size(cuts) > 0) & (F.get(cuts, F.lit(0)) <= second),
-        (starts - 1) * step + F.size(F.filter(fine, lambda c: c <= second)),
-    ).otherwise(F.lit(0)).cast("long")
+def with_slice(rows: DataFrame, ts: str) -> DataFrame:
+    """``_slice`` in place of ``_cuts``: how many of them are at or before a row's time; none if it has no cuts.
+
+    Found by halving, one projection a step. All steps are generated code behind
+    the join, so a row costs the same however many cuts there are: neither is the
+    list gone through nor copied into a row, as a lambda over it would do.
+    """
+    rows = rows.withColumns({"_second": epoch_seconds(F.col(ts)), "_slice": F.lit(0)})
+    for step in (1 << k for k in reversed(range(CUTS.bit_length()))):
+        further = F.col("_slice") + F.lit(step)
+        passed = F.get("_cuts", further - 1) <= F.col("_second")  # null beyond the last cut
+        rows = rows.withColumn("_slice", F.when(passed, further).otherwise(F.col("_slice")))
+    return rows.withColumn("_slice", F.col("_slice").cast("long")).drop("_second", "_cuts")
 
 
 def with_lookback(
@@ -87,21 +90,12 @@ def with_lookback(
     spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
     if spans is None:
         return rows.withColumns({"_slice": F.lit(0).cast("long"), "_before": F.lit(False)})
-    position = slice_of(ts)
-
-    marked = (
-        rows.join(F.broadcast(spans), key, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNotNull(), position).otherwise(F.lit(0)))
-        .drop("_cuts")
-        .withColumn("_before", F.lit(False))
-    )
+    marked = with_slice(rows.join(F.broadcast(spans), key, "left"), ts).withColumn("_before", F.lit(False))
 
     inner = [ts, tie, *[c for c in carried if c not in (ts, tie)]]
     newest_first = Window.partitionBy(key, "_slice").orderBy(F.desc(ts), F.desc(tie))
     tails = (
-        rows.select(key, *inner)
-        .join(F.broadcast(spans), key)
-        .withColumn("_slice", position)
+        with_slice(rows.select(key, *inner).join(F.broadcast(spans), key), ts)
         .withColumn("_rn", F.row_number().over(newest_first))
         .where(F.col("_rn") <= lookback)
         .groupBy(key, "_slice")
@@ -155,14 +149,12 @@ def with_last_state(
 
     if spans is None:
         return carried(line.withColumn("_slice", F.lit(0).cast("long")))
-    line, position = line.join(F.broadcast(spans), key, "left"), slice_of(ts)
-    placed = line.withColumn("_slice", F.when(F.col("_cuts").isNotNull(), position).otherwise(F.lit(0))).drop("_cuts")
+    line = line.join(F.broadcast(spans), key, "left")
+    placed = with_slice(line, ts)
 
     is_event = F.col("_kind") == 1
     ends = (
-        line.select(key, ts, state, "_tie", "_kind", "_cuts")
-        .where(F.col("_cuts").isNotNull())
-        .withColumn("_slice", position)
+        with_slice(line.select(key, ts, state, "_tie", "_kind", "_cuts").where(F.col("_cuts").isNotNull()), ts)
         .groupBy(key, "_slice")
         .agg(F.max(F.when(is_event, F.struct(ts, "_tie", state)))[state].alias("_end"))
     )

@@ -166,3 +166,23 @@ def test_a_burst_is_cut_by_rows(frame):
     )
     sizes = [r["count"] for r in marked.where("not _before").groupBy("_slice").count().collect()]
     assert sum(sizes) == 1000 and max(sizes) <= 100 and len(sizes) >= 15
+
+
+def test_cuts_are_found_by_halving(frame, plan_of):
+    """However many cuts a key has, a row costs the same: no lambda goes through the list."""
+    from plantpulse.operators.slices import CUTS, with_slice
+
+    days = frame("key string, ts timestamp_ntz", *[("A", f"2024-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(900)])
+    first = 1704067200  # 2024-01-01
+    for cuts in ([], [first - 5], [first + 3, first + 4, first + 899], [first + 2 * i for i in range(450)], [first + i for i in range(1000)]):
+        listed = frame("key string, _cuts array<bigint>", ("A", cuts))
+        got = with_slice(days.join(listed, "key"), "ts").collect()
+        assert all(r._slice == sum(c <= first + r.ts.minute * 60 + r.ts.second for c in cuts) for r in got) and len(got) == 900
+    none = frame("key string, ts timestamp_ntz, _cuts array<bigint>", ("A", "2024-01-01 00:00:01", None), ("A", None, [first]))
+    assert [r._slice for r in with_slice(none, "ts").collect()] == [0, 0]
+    assert 2 ** CUTS.bit_length() > CUTS
+
+    rows = frame(READING, *series([float(i % 9) for i in range(300)], step=10))
+    text = plan_of(with_lookback(rows, key="sensor_id", ts="reading_timestamp", tie="reading_id",
+                                 carried=["reading_value"], lookback=20, hot_rows=100, slice_rows=30))
+    assert "lambda" not in text
