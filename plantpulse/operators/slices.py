@@ -101,10 +101,13 @@ def with_lookback(
         .groupBy(key, "_slice")
         .agg(F.sort_array(F.collect_list(F.struct(*inner)), asc=False).alias("_tail"))
     )
-    # Every listed slice holds a row, so ``lookback`` slices hold enough of them.
-    earlier = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(1, lookback)
+    # A slice takes as many tails before it as make up ``lookback`` rows, found by the rows held before each.
+    by_slice = Window.partitionBy(key).orderBy("_slice")
+    held = F.sum(F.size("_tail")).over(by_slice) - F.size("_tail")
+    reach = Window.partitionBy(key).orderBy("_held").rangeBetween(1 - max(lookback, 1), 0)
     carried_rows = (
-        tails.withColumn("_tails", F.collect_list("_tail").over(earlier))
+        tails.select(key, "_slice", F.lag("_tail").over(by_slice).alias("_given"), held.alias("_held"))
+        .withColumn("_tails", F.reverse(F.collect_list("_given").over(reach)))
         .select(key, "_slice", F.explode(F.slice(F.flatten("_tails"), 1, lookback)).alias("_row"))
         .select(key, "_slice", "_row.*", F.lit(True).alias("_before"))
     )

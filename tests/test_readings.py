@@ -186,3 +186,15 @@ def test_cuts_are_found_by_halving(frame, plan_of):
     text = plan_of(with_lookback(rows, key="sensor_id", ts="reading_timestamp", tie="reading_id",
                                  carried=["reading_value"], lookback=20, hot_rows=100, slice_rows=30))
     assert "lambda" not in text
+
+
+def test_a_slice_takes_only_the_tails_it_needs(frame, plan_of):
+    """Twenty rows before a slice of twenty come from one tail, not from twenty of them."""
+    rows = frame(READING, *series([float(i % 9) for i in range(300)], step=10))
+    out = with_lookback(rows, key="sensor_id", ts="reading_timestamp", tie="reading_id",
+                        carried=["reading_value"], lookback=20, hot_rows=100, slice_rows=30)
+    assert "specifiedwindowframe(RangeFrame, -19, currentrow" in plan_of(out)
+    given = {}
+    for r in out.where("_before").collect():
+        given.setdefault(r._slice, []).append(r.reading_id)
+    assert {s: sorted(ids) for s, ids in given.items()} == {s: list(range(30 * s - 20, 30 * s)) for s in range(1, 10)}
