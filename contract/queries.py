@@ -865,8 +865,11 @@ def stream_breach_sessions(p):
 def _in_waves(p, rows, wave, waves, path, handle, name):
     """Rows that arrive in waves, each handled as one micro-batch of one stream."""
     spark, stored = p.machines.sparkSession, f"{path}/arrived"
+    placed = rows.withColumn("_wave", wave.cast("int"))
+    placed.write.partitionBy("_wave").parquet(f"{path}/waves")  # the source is read once for all of them
+    waiting = spark.read.schema(placed.schema).parquet(f"{path}/waves")
     for i in range(waves):
-        rows.where(wave == i).write.mode("overwrite").parquet(f"{stored}/{i}")
+        waiting.where(F.col("_wave") == i).drop("_wave").write.mode("overwrite").parquet(f"{stored}/{i}")
         arriving = spark.readStream.schema(rows.schema).parquet(f"{stored}/*")
         refresh.run_batches(arriving, handle, path, name=name).awaitTermination()
 

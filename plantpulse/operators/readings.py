@@ -60,18 +60,20 @@ def reading_history(
     hot_rows: int = HOT_ROWS,
     slice_rows: int = SLICE_ROWS,
     changed: str | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the gap to the sensor's previous reading and the spike flag.
 
     Runs before the sensor join, so that the one shuffle is on (sensor, slice)
     and a large registry cannot force a shuffle on the sensor alone. ``changed``
     names a flag of new readings: only these and the ``lookback`` after each,
-    whose flags they change, are kept.
+    whose flags they change, are kept. ``sizes`` are the rows of every sensor
+    (``_n``), where they are known already.
     """
     carried = ["reading_value", *([changed] if changed else [])]
     rows = with_lookback(
         readings, key="sensor_id", ts="reading_timestamp", tie="reading_id",
-        carried=carried, lookback=lookback, hot_rows=hot_rows, slice_rows=slice_rows,
+        carried=carried, lookback=lookback, hot_rows=hot_rows, slice_rows=slice_rows, sizes=sizes,
     )
     by_sensor = Window.partitionBy("sensor_id", "_slice").orderBy("reading_timestamp", "reading_id")
     recent = by_sensor.rowsBetween(-lookback, -1)

@@ -21,18 +21,21 @@ SLICE_ROWS = 1_000_000
 HOT_KEYS, CUTS = 100_000, 4_000_000
 
 
-def hot_spans(rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int) -> DataFrame | None:
+def hot_spans(
+    rows: DataFrame, key: str, ts: str, hot_rows: int, slice_rows: int, sizes: DataFrame | None = None
+) -> DataFrame | None:
     """The times at which the rows of every hot key are cut: ``_cuts``, ascending; None if no key is hot.
 
     One pass counts the rows of every key, before anything else is planned, and
-    in the normal case that is all. Keys with more than ``hot_rows`` rows are hot,
+    in the normal case that is all; none where ``sizes`` (key, ``_n``) are given. Keys with more than ``hot_rows`` rows are hot,
     or with more than a ``HOT_KEYS``-th of all rows if that is more. Their rows
     are counted by hour, and hours that hold more than a slice by second; a cut
     is made wherever the running count passes a multiple of ``slice_rows`` (or of
     a ``CUTS``-th of all rows if that is more). A slice so holds at most twice as
     many rows, however bunched they are; only rows of one second stay together.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    if sizes is None:
+        sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
     most, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
     limit = max(hot_rows, (total or 0) / HOT_KEYS)
     if (most or 0) <= limit:
@@ -80,6 +83,7 @@ def with_lookback(
     lookback: int,
     hot_rows: int = HOT_ROWS,
     slice_rows: int = SLICE_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` plus ``_slice`` and, for slices of hot keys, the rows before them.
 
@@ -87,7 +91,7 @@ def with_lookback(
     columns ``key``, ``ts``, ``tie`` and ``carried``; a window partitioned by
     (key, _slice) reads them, then the caller drops them.
     """
-    spans = hot_spans(rows, key, ts, hot_rows, slice_rows)
+    spans = hot_spans(rows, key, ts, hot_rows, slice_rows, sizes)
     if spans is None:
         return rows.withColumns({"_slice": F.lit(0).cast("long"), "_before": F.lit(False)})
     marked = with_slice(rows.join(F.broadcast(spans), key, "left"), ts).withColumn("_before", F.lit(False))

@@ -55,6 +55,7 @@ class SnapshotTable:
 
     def __init__(self, spark: SparkSession, root: str, *, key: Sequence[str], part: Column, time: str | None = None):
         self.spark, self.root, self.key, self.part, self.time = spark, root.rstrip("/"), list(key), part, time
+        self._schema: T.StructType | None = None
 
     # steps
 
@@ -158,7 +159,9 @@ class SnapshotTable:
     # reading
 
     def schema(self) -> T.StructType:
-        return self.spark.read.parquet(f"{self.root}/_schema").schema
+        if self._schema is None:  # written once
+            self._schema = self.spark.read.parquet(f"{self.root}/_schema").schema
+        return self._schema
 
     def parts(self, since: str | None = None, until: str | None = None, step: Step | None = None) -> list[str]:
         step = step or self.step()
@@ -180,8 +183,10 @@ class SnapshotTable:
             return whole
         levels = self.spark.createDataFrame(sorted({(v, lev) for _, v, lev in changes}), "version string, _level int")
         laid = self._rows(changes, schema, since, until, "version").join(F.broadcast(levels), "version").drop("version")
-        last = newest(laid, self.key, F.desc("_level")).drop("_level")
-        return whole.join(last.select(*self.key), self.key, "left_anti").unionByName(last.select(whole.columns))
+        last = newest(laid, self.key, F.desc("_level")).drop("_level").select(*schema.names)
+        if len(changes) == len(held):
+            return last
+        return whole.join(laid.select(*self.key), self.key, "left_anti").unionByName(last)
 
     def last_change(self, batch: int) -> DataFrame:
         """What a batch that changed the table last laid on top; no rows if it is not the newest."""

@@ -198,3 +198,14 @@ def test_a_slice_takes_only_the_tails_it_needs(frame, plan_of):
     for r in out.where("_before").collect():
         given.setdefault(r._slice, []).append(r.reading_id)
     assert {s: sorted(ids) for s, ids in given.items()} == {s: list(range(30 * s - 20, 30 * s)) for s in range(1, 10)}
+
+
+def test_known_sizes_are_not_counted_again(frame):
+    """Where the caller knows how many rows each sensor has, these numbers say which is hot."""
+    rows = frame(READING, *series([float(i % 9) for i in range(300)], step=10))
+    args = dict(key="sensor_id", ts="reading_timestamp", tie="reading_id", carried=["reading_value"],
+                lookback=20, hot_rows=100, slice_rows=30)
+    sizes = rows.groupBy("sensor_id").count().withColumnRenamed("count", "_n")
+    few = sizes.selectExpr("sensor_id", "cast(1 as long) as _n")
+    assert with_lookback(rows, sizes=few, **args).where("_before").count() == 0
+    assert sorted(map(str, with_lookback(rows, sizes=sizes, **args).collect())) == sorted(map(str, with_lookback(rows, **args).collect()))

@@ -99,3 +99,18 @@ def test_buckets_by_key(spark, frame, tmp_path):
     part = one.select(orders.part).first()[0]
     assert orders.change(one, batch=0) == [part]
     assert dict(held(orders.read()))["k7"] == 700 and orders.read().count() == 30
+
+
+def test_changes_alone_are_read_once(spark, frame, tmp_path, plan_of):
+    """Without whole parts nothing has to be kept apart from the changes: one pass over them, no anti join."""
+    table = SnapshotTable(spark, f"{tmp_path}/t", key=["id"], part=day_of("at"), time="at")
+    kind = "id long, at timestamp_ntz, v long"
+    table.change(frame(kind, (1, "2024-01-01 00:00:00", 1), (2, "2024-01-02 00:00:00", 1)), batch=0)
+    table.change(frame(kind, (1, "2024-01-01 00:00:00", 5)), batch=1)
+    text = plan_of(table.read())
+    assert text.count("FileScan") == 1 and "LeftAnti" not in text
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, 5), (2, 1)]
+    table.compact()
+    table.change(frame(kind, (2, "2024-01-02 00:00:00", 7)), batch=2)
+    assert plan_of(table.read()).count("Window [") <= 1
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, 5), (2, 7)]
