@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.llm.codec import encode_words, tokenizer
+from plantpulse.llm.codec import encode_words, tokenizer, uncollected
 from plantpulse.llm.common import parts, ship, spread, text_bytes, whole_text
 
 _DOCS = "batch int, ids array<long>, sizes array<int>, blob binary"
@@ -28,6 +28,30 @@ def pieces(path: str) -> list[str]:
     return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
 
 
+class Written:
+    """What is written for every id, kept as bytes and their lengths."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.sizes = texts, np.array([len(t) for t in texts], dtype=np.int64)
+
+    def of_words(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The ids of many words in a row, written with a space between them, cut into words of `sizes` ids."""
+        whole = b" ".join(map(self.texts.__getitem__, ids.tolist()))
+        at = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.sizes[ids] + 1, out=at[1:])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        starts = at[ends - sizes]
+        stops = np.maximum(at[ends] - 1, starts)
+        return [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+
+
+@lru_cache(maxsize=4)
+def _written(path: str) -> tuple[Written, Written]:
+    """Every id in decimal digits, and its piece in UTF-8."""
+    known = pieces(path)
+    return Written([str(i).encode() for i in range(len(known))]), Written([p.encode() for p in known])
+
+
 def _gathered(batches):
     """Documents of one batch number, compressed together."""
     squeeze = zstandard.ZstdCompressor(level=3)
@@ -109,34 +133,40 @@ def _encoded(path: str):
 def _joined(path: str, buckets: int, digests: bool):
     """Ids go back to the words of a batch by position, pieces to the ids, and both to the documents."""
 
-    def run(key, docs, codes):
+    def joined(docs, codes):
         by_bucket = _distinct(docs, buckets)
-        piece = pieces(path)
-        table: dict[bytes, tuple[int, bytes, str]] = {}
+        digits, read = _written(path)
+        table: dict[bytes, tuple[bytes, bytes]] = {}
+        silent: set[bytes] = set()  # words without ids leave no space either
         for bucket, counts, blob in zip(
             codes["bucket"].to_pylist(), codes["counts"].to_pylist(), codes["ids"].to_pylist()
         ):
-            sizes = np.frombuffer(zlib.decompress(counts), dtype="<u4").tolist()
+            sizes = np.frombuffer(zlib.decompress(counts), dtype="<u4")
             planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
-            ids = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
-            at = 0
-            for word, n in zip(by_bucket[bucket], sizes, strict=True):
-                some = ids[at : at + n]
-                table[word] = (n, " ".join(map(str, some)).encode(), " ".join([piece[i] for i in some]).encode())
-                at += n
+            ids = np.ascontiguousarray(planes.T).view("<u4").ravel()
+            words = by_bucket[bucket]
+            table.update(zip(words, zip(digits.of_words(ids, sizes), read.of_words(ids, sizes), strict=True), strict=True))
+            silent.update(words[i] for i in np.flatnonzero(sizes == 0).tolist())
         out: tuple[list, list, list, list] = ([], [], [], [])
         for doc, text in _texts(docs):
-            found = [table[w] for w in text.split()]
-            numbers = b" ".join([x[1] for x in found if x[0]])
-            decoded = b" ".join([x[2] for x in found if x[0]])
+            words = text.split()
+            if silent:
+                words = [w for w in words if w not in silent]
+            found = [table[w] for w in words]
+            numbers = b" ".join([x[0] for x in found])
+            decoded = b" ".join([x[1] for x in found])
             out[0].append(doc)
-            out[1].append(sum(x[0] for x in found))
+            out[1].append(numbers.count(b" ") + 1 if numbers else 0)
             out[2].append(hashlib.sha256(numbers).hexdigest() if digests else numbers.decode())
             out[3].append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
         names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256") if digests else ("doc_id", "n_tokens", "ids", "decoded")
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table({n: pa.array(v, k) for n, v, k in zip(names, out, kinds)})
 
+    def run(key, docs, codes):
+        with uncollected():
+            return joined(docs, codes)
+
     return run
 
 

@@ -123,3 +123,13 @@ def test_nothing_from_nothing(no_docs, word_file, byte_file):
     assert token_counts.token_counts(no_docs, byte_file).collect() == []
     assert word_table.encode_decode(no_docs, word_file, digests=True).collect() == []
     assert packing.pack(no_docs, word_file).collect() == []
+
+
+def test_words_are_cut_from_what_is_written_for_their_ids(word_file):
+    """Also words without ids, at both ends and in a row."""
+    made = word_table.Written([b"zero", b"", "é".encode(), b"3"])
+    sizes = np.array([0, 2, 0, 0, 1, 3, 0])
+    got = made.of_words(np.array([0, 2, 1, 3, 3, 0]), sizes)
+    assert got == [b"", "zero é".encode(), b"", b"", b"", b"3 3 zero", b""]
+    assert made.of_words(np.array([], dtype=np.int64), np.array([0, 0])) == [b"", b""]
+    assert made.of_words(np.array([], dtype=np.int64), np.array([], dtype=np.int64)) == []
