@@ -14,6 +14,9 @@ from plantpulse.llm.common import table
 from plantpulse.llm.queries import vocabulary
 from plantpulse.operators.durable import fresh_folder
 
+#: Words a worker remembers in the last stage.
+REMEMBERED = 500_000
+
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected rating is not of low quality, by a model fitted on the rated ones."""
@@ -31,8 +34,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, one row for each piece of a document."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Sequences of at most 4096 tokens, one row for each piece of a document.
+
+    The heap of an executor has grown over the stages before, so workers remember fewer words.
+    """
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("quality", grade), ("near_copies", one_of_each), ("personal_data", redact), ("packing", pack)]

@@ -32,6 +32,7 @@ class Memo(dict):
     def missing(self, keys: Iterable) -> list:
         """The keys that are not known, each once; the others are all in the table afterwards."""
         if len(self) > self.limit // 2:
+            self.older = {}  # gone before the copy is made
             self.older = dict(self)
             self.clear()
         new = set(filterfalse(self.__contains__, keys))

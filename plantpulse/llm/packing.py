@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.llm.codec import word_ids
+from plantpulse.llm.codec import REMEMBERED, word_ids
 from plantpulse.llm.common import parts, ship, whole_text
 
 SCHEMA = (
@@ -59,11 +59,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, int(bins.max()) + 1 if len(sizes) else 0
 
 
-def _tokenised(path: str, capacity: int, end_id: int):
+def _tokenised(path: str, capacity: int, end_id: int, remembered: int):
     end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches):
-        words = word_ids(path)
+        words = word_ids(path, remembered)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             tokens, crcs = [], []
@@ -110,7 +110,7 @@ def _packed(capacity: int):
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,
-    group_rows: int = 8192, seed: int = 17,
+    group_rows: int = 8192, seed: int = 17, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Documents cut and packed into sequences of at most `capacity` tokens, one row per piece.
 
@@ -120,7 +120,8 @@ def pack(
     about `group_rows` documents, so that no task sees more than its group. The
     groups are drawn at random per row, hence even for repeated ids; each leaves
     about one sequence that is not full. Ids stay in the task that made them:
-    only lengths and checksums are shuffled.
+    only lengths and checksums are shuffled. A worker remembers the ids of at most
+    `remembered` words: with fewer it takes less memory and encodes more often.
 
     Reads doc_id and text and ignores all other columns, whatever their names. An
     empty text is one piece with the end id only; an empty table gives no rows;
@@ -130,6 +131,6 @@ def pack(
     ship(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     groups = parts(docs.count(), group_rows)
-    tokenised = chosen.mapInArrow(_tokenised(tokenizer_path, capacity, end_id), _DOCS)
+    tokenised = chosen.mapInArrow(_tokenised(tokenizer_path, capacity, end_id, remembered), _DOCS)
     grouped = tokenised.withColumn("_group", F.floor(F.rand(seed) * groups).cast("long"))
     return grouped.groupBy("_group").applyInArrow(_packed(capacity), SCHEMA)

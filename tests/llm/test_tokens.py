@@ -125,6 +125,17 @@ def test_nothing_from_nothing(no_docs, word_file, byte_file):
     assert packing.pack(no_docs, word_file).collect() == []
 
 
+def test_fewer_remembered_words_pack_the_same(docs, word_file):
+    """The pipeline's workers remember fewer words; that costs time and changes no row."""
+    import corpus_pipeline
+    from plantpulse.llm import codec
+
+    few = packing.pack(docs, word_file, remembered=40).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    many = packing.pack(docs, word_file).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert Counter(few) == Counter(many)
+    assert corpus_pipeline.REMEMBERED <= codec.REMEMBERED // 3
+
+
 def test_words_are_cut_from_what_is_written_for_their_ids(word_file):
     """Also words without ids, at both ends and in a row."""
     made = word_table.Written([b"zero", b"", "é".encode(), b"3"])
